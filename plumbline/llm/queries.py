@@ -17,8 +17,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op9_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_ppm import identify, train
+
+    documents = _read(spark, sf_dir, "documents")
+    return identify(documents, train(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
+    "op9_language_ppm": op9_language_ppm,
 }
 
 ORACLE: dict[str, str] = {}
