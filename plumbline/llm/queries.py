@@ -11,6 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .avi import features, store
+
+    return features(store(_read(spark, sf_dir, "documents")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -25,6 +31,7 @@ def op9_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_avi_media": op4_avi_media,
     "op8_token_counts": op8_token_counts,
     "op9_language_ppm": op9_language_ppm,
 }
