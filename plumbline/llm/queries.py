@@ -17,6 +17,12 @@ def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(store(_read(spark, sf_dir, "documents")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import label_quality, mix
+
+    return mix(_read(spark, sf_dir, "documents"), label_quality(_read(spark, sf_dir, "labels")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -32,8 +38,38 @@ def op9_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_avi_media": op4_avi_media,
+    "op6_mixing": op6_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_language_ppm": op9_language_ppm,
 }
 
-ORACLE: dict[str, str] = {}
+#: Words as in the contracts: runs of characters other than space and U+0009 to U+000D.
+_SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
+
+MIX_SQL = """
+WITH RECURSIVE d0 AS (SELECT doc_id, source, {size} AS size FROM {docs}),
+q AS (SELECT doc_id, max(1.0::DOUBLE + coalesce(quality, 0)) AS weight FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT d0.*, -ln((('0x' || substr(md5('7:' || coalesce(d0.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+           / coalesce(q.weight, 1.0) AS key
+      FROM d0 LEFT JOIN q ON d0.doc_id = q.doc_id),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS w
+       FROM d GROUP BY source),
+s1 AS (SELECT *, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER () AS every FROM s0),
+s2 AS (SELECT *, (every - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+           / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
+s3 AS (SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS fill FROM s2),
+s4 AS (SELECT source, source_size, least(cap, coalesce(fill * w, cap)) AS target FROM s3),
+s AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM s4),
+r AS (SELECT d.*, s.source_size, s.target, s.epochs, s.target - s.epochs * s.source_size AS budget,
+             sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ASC NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
+"""
+
+OP6_SQL = (
+    MIX_SQL.format(size=_SIZE, docs="documents")
+    + "SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + CASE WHEN upto - size / 2.0::DOUBLE <= budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM r"
+)
+
+ORACLE: dict[str, str] = {
+    "op6_mixing": OP6_SQL,
+}
