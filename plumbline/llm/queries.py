@@ -36,11 +36,18 @@ def op9_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, train(documents))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_avi_media": op4_avi_media,
     "op6_mixing": op6_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_language_ppm": op9_language_ppm,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 #: Words as in the contracts: runs of characters other than space and U+0009 to U+000D.
@@ -70,6 +77,24 @@ OP6_SQL = (
     + "SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + CASE WHEN upto - size / 2.0::DOUBLE <= budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM r"
 )
 
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM {docs}),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                                     ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
+sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM {docs} UNION SELECT r.doc_id, s.b FROM reach r JOIN sym s ON r.other = s.a),
+comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+"""
+
+OP10_SQL = (
+    NEAR_SQL.format(docs="documents", percent=85)
+    + "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)"
+)
+
 ORACLE: dict[str, str] = {
     "op6_mixing": OP6_SQL,
+    "op10_near_duplicates": OP10_SQL,
 }

@@ -179,9 +179,9 @@ def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
                 np.not_equal(part[1:], part[:-1], out=keep[1:])
                 part = part[keep]
         else:
-            whole = np.uint64(c)
-            for j in range(c):
-                whole = whole * np.uint64(0x9FB21C651E98DF25) + h[a + j] if j else h[a] ^ np.uint64(c)
+            whole = c
+            for x in h[a : a + c].tolist():
+                whole = (whole * 0x9FB21C651E98DF25 + x) & 0xFFFFFFFFFFFFFFFF
             part = mix(np.array([whole], np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
         out.append(part)
         sizes[i] = len(part)
