@@ -17,6 +17,12 @@ def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(store(_read(spark, sf_dir, "documents")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_report
+
+    return line_report(_read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import label_quality, mix
 
@@ -44,6 +50,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_avi_media": op4_avi_media,
+    "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_language_ppm": op9_language_ppm,
