@@ -179,7 +179,7 @@ def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
                 np.not_equal(part[1:], part[:-1], out=keep[1:])
                 part = part[keep]
         else:
-            whole = c
+            whole = int(c)
             for x in h[a : a + c].tolist():
                 whole = (whole * 0x9FB21C651E98DF25 + x) & 0xFFFFFFFFFFFFFFFF
             part = mix(np.array([whole], np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
