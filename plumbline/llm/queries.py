@@ -35,6 +35,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"), label_quality(_read(spark, sf_dir, "labels")))
 
 
+def op7_logbilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .logbilinear import score
+
+    return score(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_avi_media": op4_avi_media,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
+    "op7_logbilinear": op7_logbilinear,
     "op8_token_counts": op8_token_counts,
     "op9_language_ppm": op9_language_ppm,
     "op10_near_duplicates": op10_near_duplicates,
