@@ -11,6 +11,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages"), spark)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contaminated
 
@@ -61,6 +67,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
     "op4_avi_media": op4_avi_media,
     "op5_line_dedup": op5_line_dedup,
@@ -115,7 +122,18 @@ OP10_SQL = (
     + "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)"
 )
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(0, 8), lambda i:
+        list_aggregate(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          ((('0x' || substr(sha, 5 * i + 1, 5))::BIGINT >> k) & 31)::INT + 1, 1)), 'string_agg', '')), '') AS payload_digest,
+        min(page_id) OVER (PARTITION BY sha) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
+
 ORACLE: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op6_mixing": OP6_SQL,
     "op10_near_duplicates": OP10_SQL,
 }
