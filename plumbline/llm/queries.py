@@ -23,6 +23,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_bytes
+
+    return repeated_bytes(_read(spark, sf_dir, "documents"))
+
+
 def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .avi import features, store
 
@@ -69,6 +75,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_avi_media": op4_avi_media,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
