@@ -33,7 +33,7 @@ from . import textbytes
 from .components import components
 from .shared import respread, table
 
-COORDINATES = 32
+COORDINATES = 16
 
 
 def _salts(n: int) -> np.ndarray:
@@ -41,7 +41,7 @@ def _salts(n: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, doc_id: str, text: str, k: int, trees: int) -> DataFrame:
-    """id, n, f1, f2, sig: set size, fingerprint, and trees + COORDINATES minwise hashes."""
+    """id, n, f1, f2, top, sig: set size, fingerprint, minwise hashes of the first levels and of COORDINATES more."""
     kind = df.schema[doc_id].dataType.simpleString()
     salts = _salts(trees + COORDINATES)
 
@@ -62,10 +62,13 @@ def signatures(df: DataFrame, doc_id: str, text: str, k: int, trees: int) -> Dat
                         v ^= v >> np.uint64(29)
                         v *= np.uint64(0xBF58476D1CE4E5B9)
                         sig[:, j] = np.minimum.reduceat(v, starts).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, len(salts), 0))]), pa.int32()), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f[0]), pa.array(f[1]), lists], ["id", "n", "f1", "f2", "sig"])
+                lists = []
+                for part in (sig[:, :trees], sig[:, trees:]):
+                    edges = np.concatenate([[0], np.cumsum(np.where(n > 0, part.shape[1], 0))])
+                    lists.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(part.ravel())))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f[0]), pa.array(f[1]), *lists], ["id", "n", "f1", "f2", "top", "sig"])
 
-    return df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, sig array<long>")
+    return df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, top array<long>, sig array<long>")
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -91,7 +94,7 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     return m.select(F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("node"), "c")
 
 
-def _grow(rows: DataFrame, classes: DataFrame, comps: DataFrame | None, leaf: int, depth: int, first: int) -> DataFrame:
+def _grow(rows: DataFrame, docs: DataFrame, comps: DataFrame | None, leaf: int, depth: int) -> DataFrame:
     """Groups (node, c) of bounded size to compare exhaustively, from the first level's rows (node, c, comp)."""
     ready = []
     for level in range(depth + 1):
@@ -103,10 +106,10 @@ def _grow(rows: DataFrame, classes: DataFrame, comps: DataFrame | None, leaf: in
         if level == depth:
             ready.append(_blocks(big, leaf // 2))
             break
-        pick = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int") + first
-        with_sig = big.join(classes.select(F.col("c").alias("c2"), "sig"), F.col("c") == F.col("c2"))
+        pick = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int")
+        with_sig = big.join(docs.select(F.col("id").alias("c2"), "sig"), F.col("c") == F.col("c2"))
         child = lambda j: F.xxhash64("node", pick(j), F.element_at("sig", pick(j) + 1))
-        grown = table(with_sig.select("node", "c", "size", F.explode(F.array(child(0), child(1))).alias("child")), "grown")
+        grown = table(with_sig.select("node", "c", "size", F.explode(F.array(child(0), child(1))).alias("child")).distinct(), "grown")
         widest = grown.groupBy("node", "child", "size").count().groupBy("node").agg(F.max(F.col("count") / F.col("size")).alias("share"))
         dense = respread(widest.filter(F.col("share") >= 0.5).select(F.col("node").alias("k")))
         ready.append(_blocks(big.join(dense, F.col("node") == F.col("k"), "left_semi"), leaf // 2))
@@ -217,9 +220,9 @@ def near_duplicates(
     kind = df.schema[doc_id].dataType.simpleString()
     total = sum(trees)
     docs = table(signatures(df, doc_id, text, k, total), "signatures")
-    classes = docs.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("f1", "f2").agg(F.min("id").alias("c"), F.first("sig").alias("sig"))
+    classes = docs.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("f1", "f2").agg(F.min("id").alias("c"), F.first("top").alias("top"))
     classes = table(classes, "classes")
-    rows = classes.select("c", F.posexplode(F.slice("sig", 1, total)).alias("tree", "m")).select("tree", F.xxhash64("tree", "m").alias("node"), "c")
+    rows = classes.select("c", F.posexplode("top").alias("tree", "m")).select("tree", F.xxhash64("tree", "m").alias("node"), "c")
     # The texts of all classes that meet another one somewhere, taken from the corpus once.
     met = _nodes(_with_component(rows.select("node", "c"), None)).select(F.col("node").alias("k"))
     wanted = rows.join(respread(met), F.col("node") == F.col("k"), "left_semi").select(F.col("c").alias("w")).distinct()
@@ -230,7 +233,7 @@ def near_duplicates(
     links, comps = None, None
     for low, high in ((0, trees[0]), (trees[0], total)):
         part = _with_component(rows.filter((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "c"), comps)
-        groups = _grow(part, classes, comps, leaf, depth, total)
+        groups = _grow(part, docs, comps, leaf, depth)
         found = table(_compare(groups, texts, k, percent, kind), "found")
         links = found if links is None else links.union(found)
         comps = components(links)
