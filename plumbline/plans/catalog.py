@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import log_queries, vector_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES = vector_queries.QUERIES | log_queries.QUERIES
+ORACLE = vector_queries.ORACLE | log_queries.ORACLE
