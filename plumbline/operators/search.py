@@ -68,10 +68,12 @@ def _matrix_hits(collection: DataFrame, queries: DataFrame, k: int, metric, kind
                     d = np.concatenate([best_d, d], axis=1)
                     i = np.concatenate([best_i, np.broadcast_to(ids, (len(q), len(ids)))], axis=1)
                     if d.shape[1] > k:  # every entry at the k-th distance stays a candidate until ids decide
-                        near = np.partition(np.where(np.isnan(d), np.inf, d), k - 1, axis=1)[:, k - 1 : k]
-                        width = int((np.where(np.isnan(d), np.inf, d) <= near).sum(axis=1).max())
-                        order = np.lexsort((i, d), axis=1)[:, : min(width, d.shape[1])] if width > 4 * k else np.argsort(np.where(np.isnan(d), np.inf, d), axis=1, kind="stable")[:, :width]
-                        d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+                        key = np.where(np.isnan(d), np.inf, d)
+                        near = np.partition(key, k - 1, axis=1)[:, k - 1 : k]
+                        width = int((key <= near).sum(axis=1).max())
+                        if width < d.shape[1]:
+                            order = np.argpartition(key, width - 1, axis=1)[:, :width]
+                            d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
                     order = np.lexsort((i, d), axis=1)[:, :k]
                     best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
             if best_d.size:

@@ -56,8 +56,8 @@ class TableApplier:
         stream.close()
 
 
-def dedup_stream(commands: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
-    """First command of each request id; ids are forgotten ``ttl_ms`` after they were seen. Rows of one id stay in order of log_index."""
+def dedup_stream(commands: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """First command of each request id; with ``ttl_ms`` ids are forgotten that long after they were seen. Rows of one id stay in order of log_index."""
     schema = commands.schema
 
     def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -69,10 +69,11 @@ def dedup_stream(commands: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
             yield rows
         elif not state.exists:
             state.update((int(rows.iloc[0]["log_index"]),))
-            state.setTimeoutDuration(ttl_ms)
+            if ttl_ms:
+                state.setTimeoutDuration(ttl_ms)
             yield rows.head(1)
 
-    return commands.groupBy("request_id").applyInPandasWithState(first, schema, "log_index long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return commands.groupBy("request_id").applyInPandasWithState(first, schema, "log_index long", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
 def commands_from_events(events: DataFrame) -> DataFrame:
