@@ -290,6 +290,6 @@ def round_trip(pages: DataFrame, spark: SparkSession, *, least: int = 0) -> Data
     kind = pages.schema["page_id"].dataType
     found = read_archives(files, payload=False).filter(F.col("kind") != "gap")
     return found.select(
-        F.when(F.col("record_id") != _ID, F.col("record_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
+        F.when(F.col("record_id") != "", F.col("record_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
         F.col("kind").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"),
     )
