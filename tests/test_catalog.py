@@ -23,7 +23,9 @@ def plain(df, columns):
     def one(x):
         if not isinstance(x, str) and pd.isna(x):
             return "null"
-        return f"{x:.6f}" if isinstance(x, float) else str(x)
+        if isinstance(x, float):
+            return f"{x:.0f}" if x.is_integer() else f"{x:.6f}"
+        return str(x)
 
     return sorted(tuple(one(x) for x in r) for r in df[columns].astype(object).itertuples(index=False))
 
