@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes
-from .shared import respread, shared_dir, shuffle_partitions, table
+from .shared import drop_at_exit, respread, scratch, shuffle_partitions, table
 
 _ID = "urn:page:"
 CHUNK = 1 << 20
@@ -285,8 +285,9 @@ def read_archives(files: DataFrame, *, payload: bool = True) -> DataFrame:
 
 def round_trip(pages: DataFrame, spark: SparkSession, *, least: int = 0) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back; one row per record."""
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = scratch(spark, "warc")
     files = table(write_archives(with_responses(pages, least), folder), "warc-files")
+    drop_at_exit(spark, folder)
     kind = pages.schema["page_id"].dataType
     found = read_archives(files, payload=False).filter(F.col("kind") != "gap")
     return found.select(
