@@ -36,9 +36,9 @@ def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import line_report
+    from .line_dedup import WHOLE, line_report
 
-    return line_report(_read(spark, sf_dir, "documents"))
+    return line_report(_read(spark, sf_dir, "documents"), **WHOLE)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
