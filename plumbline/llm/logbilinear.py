@@ -11,7 +11,8 @@ All events, the one unknown word included, add up to 1. Batched matrix products
 context classes give the normalised table that scoring reads.
 
 Counts (c, N, V) cover every training row: words are counted where they are read and added up by word. The
-network is trained by every partition on its own rows, on every ``stride``-th position of every document, against noise drawn
+network is trained by every partition on its own rows, on every position of every document: each round takes the next
+``stride``-th of them, so ``stride`` rounds take each one once. Noise is drawn
 from the class masses; replicas are averaged by position counts, over ``rounds`` rounds.
 
 Scoring looks words up in two tiers: words of at least a threshold count, at most ``table_size`` of them, are broadcast; the rest
@@ -221,7 +222,13 @@ class Trainer:
         self.seen += n
 
 
-def train(df: DataFrame, vocab: Vocabulary, *, stride: int = 8, rounds: int = 2, size: int = 512) -> Network:
+def picked(at: np.ndarray, turn: int, stride: int) -> np.ndarray:
+    """Positions that a round trains on, counted from the start of each document."""
+    place = np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
+    return np.flatnonzero(place % stride == turn % stride)
+
+
+def train(df: DataFrame, vocab: Vocabulary, *, stride: int = 2, rounds: int = 2, size: int = 512) -> Network:
     """df: text of the training rows."""
     spark = df.sparkSession
     noise = vocab.mass / vocab.mass.sum()
@@ -240,7 +247,7 @@ def train(df: DataFrame, vocab: Vocabulary, *, stride: int = 8, rounds: int = 2,
                     h, tails, at = _tokens(batch.column(0))
                     cls = v.classes(v.find(h), tails)
                     one, two = v.contexts(cls, at, end_class)
-                    pick = np.arange((7 * turn + 3) % stride, len(cls), stride)
+                    pick = picked(at, turn, stride)
                     held.append(np.stack([one[pick], two[pick], cls[pick]]))
                     rows = np.concatenate(held, axis=1)
                     full = rows.shape[1] // size * size
@@ -272,7 +279,7 @@ def _gains(net: Network, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return p, unknown.astype(np.float32)
 
 
-def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fold: int = 10, table_size: int = 300_000, stride: int = 8, rounds: int = 2) -> DataFrame:
+def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fold: int = 10, table_size: int = 300_000, stride: int = 2, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = df.sparkSession
     kind = df.schema[doc_id].dataType.simpleString()
