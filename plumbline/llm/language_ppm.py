@@ -10,9 +10,9 @@ Because the statistics are frozen, the trees are flattened into tables of code l
 grams that any language has seen, then order-2 grams and escapes, then dense order-1 tables. Scoring is
 a gather per byte; a gram that no tree holds falls through the tiers as the tree walk would.
 
-Training reads a bounded sample of labelled rows: about ``docs_per_lang`` documents for each of the at most
-``max_langs`` most frequent languages, chosen by id hash, whole documents up to ``bytes_per_lang``
-bytes. Everything else covers all rows and whole texts.
+Training reads a bounded sample of labelled rows: about ``docs_per_lang`` documents for each language there is,
+chosen by id hash, whole documents up to ``bytes_per_lang`` bytes. Languages are flattened in groups of ``GROUP``, so
+that tables grow with the number of languages and not with its square. Everything else covers all rows and whole texts.
 
 Defined results: null text or a text without a letter gives ``und`` with score 0; a null doc_id is
 held out; rows without lang are scored but not learned from; with nothing to learn every row is ``und``;
@@ -36,6 +36,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[48:58] = 48
 PAD = 10
+#: Languages in one set of flattened tables.
+GROUP = 32
 _MUL = np.uint32(0x9E3779B1)
 
 
@@ -178,6 +180,19 @@ class Model:
         return out
 
 
+class Models:
+    """Models of any number of languages, in groups by name."""
+
+    def __init__(self, texts: dict[str, list[bytes]], group: int = GROUP):
+        self.langs = sorted(texts)
+        parts = [self.langs[i : i + group] for i in range(0, len(self.langs), group)]
+        self.groups = [Model({x: texts[x] for x in part}) for part in parts]
+
+    def lengths(self, column: pa.Array) -> np.ndarray:
+        """As ``Model.lengths``, group by group."""
+        return np.hstack([m.lengths(column) for m in self.groups])
+
+
 def _has_letter(column: pa.Array) -> np.ndarray:
     raw, at = textbytes.text_bytes(column)
     ascii_ = (raw >= 65) & (raw <= 122) & ((raw <= 90) | (raw >= 97))
@@ -187,26 +202,26 @@ def _has_letter(column: pa.Array) -> np.ndarray:
     return out
 
 
-def train(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: int = 5, docs_per_lang: int = 400, bytes_per_lang: int = 1_000_000, max_langs: int = 100) -> Model:
+def train(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: int = 5, docs_per_lang: int = 400, bytes_per_lang: int = 1_000_000) -> Models:
     """Fit on rows whose crc32(doc_id as text) mod ``fold`` is not 0."""
     rows = df.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), crc_mod(doc_id, fold).alias("m"))
     rows = rows.filter((F.col("m") != 0) & F.col("t").isNotNull() & F.col("l").isNotNull())
-    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()
+    sizes = rows.groupBy("l").count().collect()
     if not sizes:
-        return Model({})
-    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r.l, min(1.0, docs_per_lang / r["count"]))]), F.col("l"))
+        return Models({})
+    dealt = df.sparkSession.createDataFrame([(r.l, min(1.0, docs_per_lang / r["count"])) for r in sizes], "g string, share double")
     place = F.pmod(F.xxhash64("i"), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    sample = rows.filter(F.try_element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r.l, True)]), F.col("l")) & (place < share))
+    sample = rows.join(F.broadcast(dealt), F.col("l") == F.col("g")).filter(place < F.col("share"))
     texts: dict[str, list[bytes]] = {r.l: [] for r in sizes}
     used = dict.fromkeys(texts, 0)
     for r in sorted(sample.select("l", "i", "t", place.alias("p")).collect(), key=lambda r: (r.p, r.t)):
         if used[r.l] < bytes_per_lang:
             texts[r.l].append(r.t.encode())
             used[r.l] += len(texts[r.l][-1])
-    return Model(texts)
+    return Models(texts)
 
 
-def identify(df: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", fold: int = 5, keep: bool = False) -> DataFrame:
+def identify(df: DataFrame, model: Model | Models, *, doc_id: str = "doc_id", text: str = "text", fold: int = 5, keep: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row; with ``keep`` beside all columns of ``df``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     source = df.withColumns({"__id": F.col(doc_id), "__text": F.col(text), "__held": crc_mod(doc_id, fold) == 0})

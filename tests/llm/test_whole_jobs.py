@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from plumbline.llm import logbilinear
+from plumbline.llm import language_ppm, logbilinear
 
 
 def test_network_trains_on_every_position(spark):
@@ -23,3 +23,18 @@ def test_network_trains_on_every_position(spark):
         texts.append(" ".join(t))
     out = logbilinear.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("held_out").collect()
     assert out and sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the hundred that once had a model; the rare ones count as the frequent ones."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(130):
+        letters = [chr(0x4E00 + 10 * k + j) for j in range(8)]
+        for _ in range(6 if k < 100 else 5):
+            rows.append((len(rows), "".join(rng.choice(letters) for _ in range(80)), f"lang{k}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_ppm.train(frame)
+    assert len(model.langs) == 130 and len(model.groups) > 1
+    got = {r.doc_id: r.lang_pred for r in language_ppm.identify(frame, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
