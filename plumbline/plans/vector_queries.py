@@ -40,6 +40,11 @@ def _few(df: DataFrame, n: int = 5) -> DataFrame:
     return df.filter(F.col("id") < n)
 
 
+def _fixed(df: DataFrame) -> DataFrame:
+    """The query set of the statement: every id divisible by 50."""
+    return df.filter(F.col("id") % 50 == 0)
+
+
 # SQL pieces ---------------------------------------------------------------------------------------------------------
 
 V = "embedding::DOUBLE[]"
@@ -93,8 +98,13 @@ def _topk(name: str, metric: str, sql: str, vec, base=members, kind: str = "f32"
         rows = _with(base(spark, sf_dir), vec)
         return search.search(rows, _few(rows), 5, metric, kind=kind, plan="expression")
 
-    run.__name__ = name
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _with(base(spark, sf_dir), vec)
+        return search.search(rows, _fixed(rows), 5, metric, kind=kind)
+
+    run.__name__, whole.__name__ = name, f"{name}_whole"
     query(sql)(run)
+    query()(whole)
 
 
 def _same(v):
@@ -252,6 +262,14 @@ def search_padded(spark, sf_dir):
     return search.padded(search.search(rows.filter(F.col("id") < 60), q, 10, "cos", predicate=F.col("label") == 3), q, 10)
 
 
+@query()
+def search_padded_whole(spark, sf_dir):
+    """All members of the label, and k ten wider than their number, so that every query is padded."""
+    rows = scaled(spark, sf_dir)
+    q, k = _fixed(rows), rows.filter(F.col("label") == 3).count() + 10
+    return search.padded(search.search(rows, q, k, "cos", predicate=F.col("label") == 3), q, k)
+
+
 @query(f"WITH {pairs_sql(_s('(v[i] - q[i]) * (v[i] - q[i])'), '[embedding[1]::DOUBLE, embedding[2]::DOUBLE]', queries_if='vec_id = 0')} SELECT id, round({_s('(v[i] - 0.5::DOUBLE) * (v[i] - 0.5::DOUBLE)')}, 6) + 0.0 AS distance FROM c ORDER BY distance, id LIMIT 10")
 def search_single_limit(spark, sf_dir):
     rows = _with(members(spark, sf_dir), lambda v: F.array(v[0], v[1]))
@@ -315,6 +333,13 @@ def greedy_match_40x40(spark, sf_dir):
     return matching.match(rows.filter(F.col("id") % 2 == 0), rows.filter(F.col("id") % 2 == 1), "ip", proposals=0)
 
 
+@query()
+def greedy_match_whole(spark, sf_dir):
+    """All even against all odd ids, without a cap on lists."""
+    rows = scaled(spark, sf_dir)
+    return matching.match(rows.filter(F.col("id") % 2 == 0), rows.filter(F.col("id") % 2 == 1), "ip", proposals=0)
+
+
 @query()
 def stable_match_capped(spark, sf_dir):
     """All even against all odd ids, lists of ln(n) + 1."""
