@@ -175,6 +175,7 @@ def _compare(groups: DataFrame, texts: DataFrame, k: int, percent: int, kind: st
     def links_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: list[tuple] = []
         ids = batch.column(1).to_pylist()
+        id_type = pa.string() if pa.types.is_large_string(batch.column(1).type) else batch.column(1).type
         node = batch.column(0).to_numpy()
         sets, at = textbytes.shingles(textbytes.Words(batch.column(3)), k)
         full = np.flatnonzero(np.diff(at))
@@ -188,7 +189,7 @@ def _compare(groups: DataFrame, texts: DataFrame, k: int, percent: int, kind: st
             if len(once) > 1:
                 parts = [sets[at[i] : at[i + 1]] for i in once]
                 found += [(ids[once[i]], ids[once[j]]) for i, j in _forest(np.concatenate(parts), np.cumsum([0, *map(len, parts)]), percent)]
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], batch.column(1).type), pa.array([f[1] for f in found], batch.column(1).type)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], id_type), pa.array([f[1] for f in found], id_type)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -210,7 +211,11 @@ def _compare(groups: DataFrame, texts: DataFrame, k: int, percent: int, kind: st
 
 
 def _join(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
+    """One batch; texts with 64-bit offsets, as one string column over 2 GiB stays in several chunks."""
+    whole = pa.Table.from_batches(pieces)
+    wide = [f.with_type(pa.large_string()) if pa.types.is_string(f.type) else f for f in whole.schema]
+    (batch,) = whole.cast(pa.schema(wide)).combine_chunks().to_batches()
+    return batch
 
 
 def near_duplicates(

@@ -4,8 +4,9 @@ import inspect
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from plumbline.llm import language_ppm, logbilinear
+from plumbline.llm import language_ppm, logbilinear, near_duplicates
 
 
 def test_network_trains_on_every_position(spark):
@@ -38,3 +39,9 @@ def test_every_language_is_learned(spark):
     assert len(model.langs) == 130 and len(model.groups) > 1
     got = {r.doc_id: r.lang_pred for r in language_ppm.identify(frame, model).collect()}
     assert all(got[i] == lang for i, _, lang in rows)
+
+
+def test_joined_texts_have_wide_offsets():
+    pieces = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([f"text {i}"])], ["node", "text"]) for i in range(3)]
+    whole = near_duplicates._join(pieces)
+    assert whole.column(1).type == pa.large_string() and whole.column(1).to_pylist() == ["text 0", "text 1", "text 2"]
