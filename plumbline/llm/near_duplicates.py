@@ -6,10 +6,12 @@ first, so exact copies cost one row. The join then grows independent trees over
 
 * A tree's first level sends every class to the node of its smallest shingle under the tree's hash.
 * A node of at most ``leaf`` classes is compared exhaustively.
-* A larger node branches: two coordinates, chosen by the node's own hash, send each class to the child of
-  its minwise shingle there. If one child would hold half of the node, the classes are alike and
-  branching cannot part them: the node is compared exhaustively, in pairs of blocks of bounded size.
-* After ``depth`` levels every node that is still large is compared in blocks as well, so nothing is capped.
+* A larger node (in classes, or in shingles altogether) branches: two coordinates, chosen by the node's own hash, send each
+  class to the child of its minwise shingle there. If one child would hold half of the node, the classes are alike and
+  branching cannot part them: the node is a crowd, as is every node that is still large after ``depth`` levels.
+* A crowd is compared with a few pivots first, and once more with pivots from what the first ones left apart. Only
+  classes outside a crowd's main component after that are compared with all of it, in pairs of blocks of bounded size. A
+  crowd of near copies costs as many rows as it has classes, and nothing is capped.
 
 A pair of similarity s meets in one tree with probability s * (1 - (1 - s)^2)^levels, so trees repeat to the
 target: with 8 trees a pair at 0.85 is missed with probability under 1e-5. Trees grow in two rounds. The first
@@ -23,15 +25,16 @@ is kept; rows that share a doc_id are one document to the components, and each g
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes
 from .components import components
-from .shared import respread, table
+from .shared import respread, table, unused
 
 COORDINATES = 16
 
@@ -72,53 +75,78 @@ def signatures(df: DataFrame, doc_id: str, text: str, k: int, trees: int) -> Dat
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """node, size of the nodes worth comparing: two classes of two components at least, one node for each set of members."""
+    """node, size, weight of the nodes worth comparing: two classes of two components at least, one node for each set of members."""
     n = rows.groupBy("node").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.shiftright(F.xxhash64("c", F.lit(1)), 24)).alias("s"),
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("c")).alias("x"),
+        F.sum(F.shiftright(F.xxhash64("c", F.lit(1)), 24)).alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
     )
     n = n.filter((F.col("size") > 1) & (F.col("lo") < F.col("hi")))
-    return n.groupBy("size", "x", "s").agg(F.min("node").alias("node")).select("node", "size")
+    return n.groupBy("size", "weight", "x", "s").agg(F.min("node").alias("node")).select("node", "size", "weight")
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """node, c, size of all classes in the nodes worth comparing."""
+    """node, c, n, size, weight of all classes in the nodes worth comparing."""
     kept = respread(_nodes(rows)).withColumnRenamed("node", "k")
-    return table(rows.select("node", "c").join(kept, F.col("node") == F.col("k")).drop("k"), "members")
+    return table(rows.select("node", "c", "n").join(kept, F.col("node") == F.col("k")).drop("k"), "members")
 
 
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Every pair of blocks of a node is a group of its own."""
-    m = members.withColumn("nb", F.ceil(F.col("size") / block).cast("int")).withColumn("b", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"))
-    m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return m.select(F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("node"), "c")
-
-
-def _grow(rows: DataFrame, docs: DataFrame, comps: DataFrame | None, leaf: int, depth: int) -> DataFrame:
-    """Groups (node, c) of bounded size to compare exhaustively, from the first level's rows (node, c, comp)."""
-    ready = []
+def _grow(rows: DataFrame, docs: DataFrame, comps: DataFrame | None, leaf: int, most: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """Small nodes to compare exhaustively and crowds (None: there are none), as (node, c, n), from the first level's rows (node, c, n, comp)."""
+    ready, crowds = [], []
+    small = (F.col("size") <= leaf) & (F.col("weight") <= most)
     for level in range(depth + 1):
         members = _members(rows)
-        ready.append(members.filter(F.col("size") <= leaf).select("node", "c"))
-        big = members.filter(F.col("size") > leaf)
+        ready.append(members.filter(small).select("node", "c", "n"))
+        big = members.filter(~small)
         if big.isEmpty():
             break
         if level == depth:
-            ready.append(_blocks(big, leaf // 2))
+            crowds.append(big.select("node", "c", "n"))
             break
         pick = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int")
         with_sig = big.join(docs.select(F.col("id").alias("c2"), "sig"), F.col("c") == F.col("c2"))
         child = lambda j: F.xxhash64("node", pick(j), F.element_at("sig", pick(j) + 1))
-        grown = table(with_sig.select("node", "c", "size", F.explode(F.array(child(0), child(1))).alias("child")).distinct(), "grown")
+        grown = table(with_sig.select("node", "c", "n", "size", F.explode(F.array(child(0), child(1))).alias("child")).distinct(), "grown")
         widest = grown.groupBy("node", "child", "size").count().groupBy("node").agg(F.max(F.col("count") / F.col("size")).alias("share"))
         dense = respread(widest.filter(F.col("share") >= 0.5).select(F.col("node").alias("k")))
-        ready.append(_blocks(big.join(dense, F.col("node") == F.col("k"), "left_semi"), leaf // 2))
-        rows = grown.join(dense, F.col("node") == F.col("k"), "left_anti").select(F.col("child").alias("node"), "c").distinct()
+        crowds.append(big.join(dense, F.col("node") == F.col("k"), "left_semi").select("node", "c", "n"))
+        rows = grown.join(dense, F.col("node") == F.col("k"), "left_anti").select(F.col("child").alias("node"), "c", "n").distinct()
         rows = _with_component(rows, comps)
-    out = ready[0]
-    for r in ready[1:]:
-        out = out.union(r)
-    return out
+    return reduce(DataFrame.union, ready), reduce(DataFrame.union, crowds) if crowds else None
+
+
+def _apart(crowds: DataFrame, comps: DataFrame | None, leaf: int, most: int) -> DataFrame:
+    """node, c, out, nb, ns of the crowds that are not one component yet: out tells who is outside the main one; numbers of blocks of all and of those."""
+    rows = _with_component(crowds, comps)
+    parts = table(rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")), "crowd-parts")
+    nodes = parts.groupBy("node").agg(F.max(F.struct("size", "weight", "comp")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight"))
+    nodes = nodes.filter(F.col("main.size") < F.col("size"))
+    blocks = lambda size, weight: F.greatest(F.ceil(size / (leaf // 2)), F.ceil(weight / most)).cast("int")
+    nodes = nodes.select(
+        F.col("node").alias("k"), F.col("main.comp").alias("main"), blocks(F.col("size"), F.col("weight")).alias("nb"),
+        blocks(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("ns"),
+    )
+    rows = rows.join(respread(nodes), F.col("node") == F.col("k"))
+    return table(rows.select("node", "c", (F.col("comp") != F.col("main")).alias("out"), "nb", "ns"), "crowds")
+
+
+def _block(count: str) -> Column:
+    return F.pmod(F.xxhash64("c"), F.col(count)).cast("int")
+
+
+def _pivoted(apart: DataFrame, pivots: int = 4) -> DataFrame:
+    """Groups (node, c): every block of a crowd with the crowd's pivots, which are taken from the classes outside the main component."""
+    deal = F.xxhash64("c", "node", F.lit(11))
+    chosen = apart.filter("out").groupBy("node", "nb", F.pmod(deal, F.lit(pivots)).alias("slot")).agg(F.min_by("c", deal).alias("c"))
+    chosen = chosen.select("node", "c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
+    return apart.select("node", "c", _block("nb").alias("b")).union(chosen).select(F.xxhash64("node", "b").alias("node"), "c").distinct()
+
+
+def _crossed(apart: DataFrame) -> DataFrame:
+    """Groups (node, c): every block of a crowd with every block of the classes outside its main component."""
+    every = apart.select("node", "c", _block("nb").alias("b"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("o"))
+    out = apart.filter("out").select("node", "c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), _block("ns").alias("o"))
+    return every.union(out).select(F.xxhash64("node", "b", "o").alias("node"), "c").distinct()
 
 
 def _with_component(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -199,7 +227,8 @@ def _compare(groups: DataFrame, texts: DataFrame, k: int, percent: int, kind: st
             begin = 0
             for c in [*changes.tolist(), len(node)]:
                 piece = batch.slice(begin, c - begin)
-                if held and held[-1].column(0)[-1] != piece.column(0)[0] and sum(h.num_rows for h in held) >= 256:
+                enough = sum(h.num_rows for h in held) >= 256 or sum(h.nbytes for h in held) >= 32 << 20
+                if held and held[-1].column(0)[-1] != piece.column(0)[0] and enough:
                     yield links_of(_join(held))
                     held = []
                 held.append(piece)
@@ -219,17 +248,17 @@ def _join(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def near_duplicates(
-    df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 85, trees: tuple[int, int] = (3, 5), leaf: int = 512, depth: int = 2
+    df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 85, trees: tuple[int, int] = (3, 5), leaf: int = 512, most: int = 4_000_000, depth: int = 2
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``df``."""
     kind = df.schema[doc_id].dataType.simpleString()
     total = sum(trees)
     docs = table(signatures(df, doc_id, text, k, total), "signatures")
-    classes = docs.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("f1", "f2").agg(F.min("id").alias("c"), F.first("top").alias("top"))
+    classes = docs.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("f1", "f2").agg(F.min("id").alias("c"), F.first("top").alias("top"), F.first("n").alias("n"))
     classes = table(classes, "classes")
-    rows = classes.select("c", F.posexplode("top").alias("tree", "m")).select("tree", F.xxhash64("tree", "m").alias("node"), "c")
+    rows = classes.select("c", "n", F.posexplode("top").alias("tree", "m")).select("tree", F.xxhash64("tree", "m").alias("node"), "c", "n")
     # The texts of all classes that meet another one somewhere, taken from the corpus once.
-    met = _nodes(_with_component(rows.select("node", "c"), None)).select(F.col("node").alias("k"))
+    met = _nodes(_with_component(rows.select("node", "c", "n"), None)).select(F.col("node").alias("k"))
     wanted = rows.join(respread(met), F.col("node") == F.col("k"), "left_semi").select(F.col("c").alias("w")).distinct()
     wanted = wanted.join(classes.select("c", "f1"), F.col("w") == F.col("c")).select("w", "f1")
     source = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -237,11 +266,21 @@ def near_duplicates(
 
     links, comps = None, None
     for low, high in ((0, trees[0]), (trees[0], total)):
-        part = _with_component(rows.filter((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "c"), comps)
-        groups = _grow(part, docs, comps, leaf, depth)
-        found = table(_compare(groups, texts, k, percent, kind), "found")
-        links = found if links is None else links.union(found)
-        comps = components(links)
+        part = _with_component(rows.filter((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "c", "n"), comps)
+        small, crowds = _grow(part, docs, comps, leaf, most, depth)
+        groups = small.select("node", "c")
+        for step in (_pivoted, _pivoted, _crossed):
+            if crowds is not None:
+                apart = _apart(crowds, comps, leaf, most)
+                if apart.isEmpty():
+                    crowds = None
+                else:
+                    groups = step(apart) if groups is None else groups.union(step(apart))
+            if groups is None:
+                break
+            found = table(_compare(groups, texts, k, percent, kind), "found")
+            links = found if links is None else links.union(found)
+            comps, groups = components(links), None
     roots = comps.select(F.col("id").alias("c2"), F.col("root"))
     cls = classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "c").join(roots, F.col("c") == F.col("c2"), "left")
     cls = respread(cls.select("g1", "g2", F.coalesce("root", "c").alias("component_id")))
@@ -251,6 +290,7 @@ def near_duplicates(
 
 
 def drop_near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of ``df`` that stay: one document of each group of near copies."""
-    gone = near_duplicates(df, doc_id=doc_id, text=text, percent=percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(respread(gone), F.col(doc_id) == F.col("__gone"), "left_anti")
+    """The rows of ``df`` that stay: one document of each group of near copies. Columns of any name pass through."""
+    key = unused(df, "gone")
+    gone = near_duplicates(df, doc_id=doc_id, text=text, percent=percent).filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    return df.join(respread(gone), F.col(doc_id) == F.col(key), "left_anti")

@@ -80,9 +80,9 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("leaf", [16, 512])
-def test_near_duplicates(spark, near_texts, leaf):
-    got = near_duplicates.near_duplicates(docs(spark, near_texts), leaf=leaf).collect()
+@pytest.mark.parametrize(("leaf", "most"), [(6, 1 << 30), (16, 1 << 30), (512, 2000), (512, 4_000_000)])
+def test_near_duplicates(spark, near_texts, leaf, most):
+    got = near_duplicates.near_duplicates(docs(spark, near_texts), leaf=leaf, most=most).collect()
     assert sorted(tuple(r) for r in got) == brute_near(near_texts, 85)
 
 
