@@ -9,9 +9,9 @@ first, so exact copies cost one row. The join then grows independent trees over
 * A larger node (in classes, or in shingles altogether) branches: two coordinates, chosen by the node's own hash, send each
   class to the child of its minwise shingle there. If one child would hold half of the node, the classes are alike and
   branching cannot part them: the node is a crowd, as is every node that is still large after ``depth`` levels.
-* A crowd is compared with a few pivots first, and once more with pivots from what the first ones left apart. Only
-  classes outside a crowd's main component after that are compared with all of it, in pairs of blocks of bounded size. A
-  crowd of near copies costs as many rows as it has classes, and nothing is capped.
+* A crowd is compared with 32 pivots of its own first, block by block. After the last tree, only classes outside a crowd's
+  main component are compared with all of it, in pairs of blocks of bounded size. A crowd of near copies
+  costs about as many rows as it has classes, and nothing is capped.
 
 A pair of similarity s meets in one tree with probability s * (1 - (1 - s)^2)^levels, so trees repeat to the
 target: with 8 trees a pair at 0.85 is missed with probability under 1e-5. Trees grow in two rounds. The first
@@ -134,7 +134,7 @@ def _block(count: str) -> Column:
     return F.pmod(F.xxhash64("c"), F.col(count)).cast("int")
 
 
-def _pivoted(apart: DataFrame, pivots: int = 4) -> DataFrame:
+def _pivoted(apart: DataFrame, pivots: int = 32) -> DataFrame:
     """Groups (node, c): every block of a crowd with the crowd's pivots, which are taken from the classes outside the main component."""
     deal = F.xxhash64("c", "node", F.lit(11))
     chosen = apart.filter("out").groupBy("node", "nb", F.pmod(deal, F.lit(pivots)).alias("slot")).agg(F.min_by("c", deal).alias("c"))
@@ -264,23 +264,24 @@ def near_duplicates(
     source = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     texts = table(source.join(respread(wanted), F.col("id") == F.col("w")).select("id", "f1", "text"), "texts")
 
-    links, comps = None, None
+    comps, crowds = None, []
+
+    def meet(groups: DataFrame, comps: DataFrame | None) -> DataFrame:
+        links = _compare(groups, texts, k, percent, kind)
+        return components(links if comps is None else links.union(comps.select("id", "root")))
+
     for low, high in ((0, trees[0]), (trees[0], total)):
         part = _with_component(rows.filter((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "c", "n"), comps)
-        small, crowds = _grow(part, docs, comps, leaf, most, depth)
-        groups = small.select("node", "c")
-        for step in (_pivoted, _pivoted, _crossed):
-            if crowds is not None:
-                apart = _apart(crowds, comps, leaf, most)
-                if apart.isEmpty():
-                    crowds = None
-                else:
-                    groups = step(apart) if groups is None else groups.union(step(apart))
-            if groups is None:
-                break
-            found = table(_compare(groups, texts, k, percent, kind), "found")
-            links = found if links is None else links.union(found)
-            comps, groups = components(links), None
+        groups, crowd = _grow(part, docs, comps, leaf, most, depth)
+        groups = groups.select("node", "c")
+        if crowd is not None:
+            crowds.append(table(crowd, "crowded"))
+            groups = groups.union(_pivoted(_apart(crowds[-1], comps, leaf, most)))
+        comps = meet(groups, comps)
+    if crowds:
+        apart = _apart(reduce(DataFrame.union, crowds), comps, leaf, most)
+        if not apart.isEmpty():
+            comps = meet(_crossed(apart), comps)
     roots = comps.select(F.col("id").alias("c2"), F.col("root"))
     cls = classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "c").join(roots, F.col("c") == F.col("c2"), "left")
     cls = respread(cls.select("g1", "g2", F.coalesce("root", "c").alias("component_id")))
