@@ -18,7 +18,8 @@ The index is broadcast in shards of at most ``shard_chars`` characters of item t
 
 Words are runs of ASCII letters and digits and of all non-ASCII bytes, A-Z lower-cased.
 Defined results: null and wordless texts match nothing; items without words match nothing; a null doc_id or item_id is carried
-as null; repeated documents and items match on their own; with an empty table on either side the result is empty.
+as null, ids are of any type; repeated documents and items match on their own; very long texts are bounded some half windows
+at a time; with an empty table on either side the result is empty.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes
-from .shared import respread
+from .shared import respread, unused
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -47,6 +48,10 @@ def split_item(text: str) -> tuple[str, str]:
     return text[:at], text[at:]
 
 
+#: Half windows whose bounds are held at a time.
+STRIP = 4096
+
+
 class Index:
     """Postings in item order with block maxima, for items given as (question, answer)."""
 
@@ -155,18 +160,23 @@ class Index:
             return []
         row = np.searchsorted(words.first, at, side="right") - 1
         half = base[row] + (at - words.first[row]) // length
-        # distinct (half, rare term), spread over the term's blocks
+        # distinct (half, rare term), spread over the term's blocks, some halves at a time and the next one with them
         rare = ~self.common[term[at]]
         key = np.unique(half[rare] * len(self.terms) + term[at][rare])
-        h, t = key // len(self.terms), key % len(self.terms)
-        times = self.bat[t + 1] - self.bat[t]
-        entry = np.arange(times.sum()) + np.repeat(self.bat[t] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
         total = int(base[-1])
-        bound = np.bincount(np.repeat(h, times) * self.blocks + self.bblock[entry], self.bmax[entry], minlength=total * self.blocks).reshape(total, self.blocks)
         last = np.zeros(total, np.bool_)
         last[base[1:][halves > 0] - 1] = True
-        bound[:-1] += np.where(last[:-1, None], 0.0, bound[1:])
-        hit = np.flatnonzero((bound + self.slack >= threshold - 1e-9).any(axis=1))
+        hits = []
+        for begin in range(0, total, STRIP):
+            n = min(STRIP, total - begin)
+            a, b = np.searchsorted(key, [begin * len(self.terms), (begin + n + 1) * len(self.terms)])
+            h, t = key[a:b] // len(self.terms) - begin, key[a:b] % len(self.terms)
+            times = self.bat[t + 1] - self.bat[t]
+            entry = np.arange(times.sum()) + np.repeat(self.bat[t] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
+            bound = np.bincount(np.repeat(h, times) * self.blocks + self.bblock[entry], self.bmax[entry], minlength=(n + 1) * self.blocks).reshape(n + 1, self.blocks)
+            both = bound[:-1] + np.where(last[begin : begin + n, None], 0.0, bound[1:])
+            hits.append(begin + np.flatnonzero((both + self.slack >= threshold - 1e-9).any(axis=1)))
+        hit = np.concatenate(hits)
         best: dict[tuple[int, int], tuple] = {}
         for w in hit.tolist():
             r = int(np.searchsorted(base, w, side="right")) - 1
@@ -213,19 +223,19 @@ def contaminated(
     shards = max(1, -(-chars // shard_chars))
     out = None
     for s in range(shards):
-        rows = sorted(picked.filter(F.pmod(F.xxhash64("item_id", "q"), F.lit(shards)) == s).collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.q))
-        pairs = [(r.q, r.a) if r.a is not None else split_item(r.q) for r in rows]
-        pairs, ids = [p for p in pairs if p[0].strip() or p[1].strip()], [r.item_id for r, p in zip(rows, pairs, strict=True) if p[0].strip() or p[1].strip()]
+        shard = picked.filter(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "q"), F.lit(shards)) == s).toArrow().combine_chunks()
+        pairs = [(q, a) if a is not None else split_item(q) for q, a in zip(shard.column("q").to_pylist(), shard.column("a").to_pylist(), strict=True)]
+        use = sorted((i for i, p in enumerate(pairs) if p[0].strip() or p[1].strip()), key=lambda i: pairs[i])
+        pairs, ids = [pairs[i] for i in use], shard.column("item_id").take(pa.array(use, pa.int64())).combine_chunks()
         shared = spark.sparkContext.broadcast((Index(pairs), ids))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, ids = shared.value
             for whole in batches:
                 for batch in textbytes.slices(whole, "text"):
-                    found = index.search(textbytes.Words(batch.column(1), textbytes.ALNUM_WORDS), threshold, question, answer) if ids else []
+                    found = index.search(textbytes.Words(batch.column(1), textbytes.ALNUM_WORDS), threshold, question, answer) if len(ids) else []
                     docs = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                    kind = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-                    columns = [docs, pa.array([ids[f[1]] for f in found], kind), *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))]
+                    columns = [docs, ids.take(pa.array([f[1] for f in found], pa.int64())), *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         part = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -234,6 +244,7 @@ def contaminated(
 
 
 def decontaminate(df: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``df`` in which no test item was found."""
-    found = contaminated(df, items, doc_id=doc_id, **how).select(F.col("doc_id").alias("__found")).distinct()
-    return df.join(respread(found), F.col(doc_id).eqNullSafe(F.col("__found")), "left_anti")
+    """The rows of ``df`` in which no test item was found. Columns of any name pass through."""
+    key = unused(df, "found")
+    found = contaminated(df, items, doc_id=doc_id, **how).select(F.col("doc_id").alias(key)).distinct()
+    return df.join(respread(found), F.col(doc_id).eqNullSafe(F.col(key)), "left_anti")

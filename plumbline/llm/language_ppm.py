@@ -11,7 +11,7 @@ grams that any language has seen, then order-2 grams and escapes, then dense ord
 a gather per byte; a gram that no tree holds falls through the tiers as the tree walk would.
 
 Training reads a bounded sample of labelled rows: about ``docs_per_lang`` documents for each language there is,
-chosen by id hash, whole documents up to ``bytes_per_lang`` bytes. Languages are flattened in groups of ``GROUP``, so
+chosen by id hash, whole documents up to ``bytes_per_lang`` bytes (counted before texts are fetched; one text alone is cut there). Languages are flattened in groups of ``GROUP``, so
 that tables grow with the number of languages and not with its square. Everything else covers all rows and whole texts.
 
 Defined results: null text or a text without a letter gives ``und`` with score 0; a null doc_id is
@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import textbytes
-from .shared import crc_mod
+from .shared import crc_mod, unused
 
 #: A-Z become a-z and all digits one byte, so that case and numbers don't dilute the contexts.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -38,6 +39,8 @@ FOLD[48:58] = 48
 PAD = 10
 #: Languages in one set of flattened tables.
 GROUP = 32
+#: Columns that ``identify`` adds.
+NEW = ("ppm_held", "ppm_lang", "ppm_score")
 _MUL = np.uint32(0x9E3779B1)
 
 
@@ -212,32 +215,37 @@ def train(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     dealt = df.sparkSession.createDataFrame([(r.l, min(1.0, docs_per_lang / r["count"])) for r in sizes], "g string, share double")
     place = F.pmod(F.xxhash64("i"), F.lit(1 << 40)).cast("double") / float(1 << 40)
     sample = rows.join(F.broadcast(dealt), F.col("l") == F.col("g")).filter(place < F.col("share"))
+    # Bytes are added up before any text is fetched: texts past a language's bound stay where they are.
+    sample = sample.select("l", place.alias("p"), F.xxhash64("t").alias("x"), F.octet_length("t").cast("long").alias("n"), "t")
+    before = W.partitionBy("l").orderBy("p", "x").rowsBetween(W.unboundedPreceding, -1)
+    narrow = sample.select("l", "p", "x", "n").distinct().withColumn("used", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("used") < bytes_per_lang)
+    picked = narrow.select(F.col("l").alias("l2"), F.col("p").alias("p2"), F.col("x").alias("x2"), "used")
+    same = (F.col("l") == F.col("l2")) & (F.col("p") == F.col("p2")) & (F.col("x") == F.col("x2"))
+    text_part = F.substring(F.col("t").cast("binary"), 1, bytes_per_lang)  # one text alone may exceed the bound
     texts: dict[str, list[bytes]] = {r.l: [] for r in sizes}
-    used = dict.fromkeys(texts, 0)
-    for r in sorted(sample.select("l", "i", "t", place.alias("p")).collect(), key=lambda r: (r.p, r.t)):
-        if used[r.l] < bytes_per_lang:
-            texts[r.l].append(r.t.encode())
-            used[r.l] += len(texts[r.l][-1])
+    fetched = sample.join(F.broadcast(picked), same).select("l", "used", "p", "x", text_part.alias("t")).dropDuplicates(["l", "p", "x"])
+    for r in fetched.orderBy("l", "used", "p", "x").collect():
+        texts[r.l].append(bytes(r.t))
     return Models(texts)
 
 
 def identify(df: DataFrame, model: Model | Models, *, doc_id: str = "doc_id", text: str = "text", fold: int = 5, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row; with ``keep`` beside all columns of ``df``."""
+    """doc_id, held_out, lang_pred, score for each row; with ``keep`` the last three, under ``NEW`` or the next names free, after all columns of ``df``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    source = df.withColumns({"__id": F.col(doc_id), "__text": F.col(text), "__held": crc_mod(doc_id, fold) == 0})
+    own_id, own_text, new_held, new_lang, new_score = (unused(df, n) for n in ("ppm_id", "ppm_text", *NEW))
+    source = df.withColumns({own_id: F.col(doc_id), own_text: F.col(text), new_held: crc_mod(doc_id, fold) == 0})
     if not keep:
-        source = source.select("__id", "__text", "__held")
-    names = ["doc_id", "held_out", "lang_pred", "score"]
+        source = source.select(own_id, own_text, new_held)
     kept = df.columns if keep else []
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept]
-    new = ["__held", "__lang", "__score"] if keep else names[1:]
-    schema = ", ".join([*fields] if keep else [f"doc_id {df.schema[doc_id].dataType.simpleString()}"]) + f", {new[0]} boolean, {new[1]} string, {new[2]} double"
+    fields = [f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in kept] or [f"doc_id {df.schema[doc_id].dataType.simpleString()}"]
+    names = [*kept, new_held, new_lang, new_score] if keep else ["doc_id", "held_out", "lang_pred", "score"]
+    schema = ", ".join(fields) + ", " + ", ".join(f"{n} {t}" for n, t in zip(names[-3:], ("boolean", "string", "double"), strict=True))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for batch in textbytes.slices(whole, "__text"):
-                column = batch.column(batch.schema.get_field_index("__text"))
+            for batch in textbytes.slices(whole, own_text):
+                column = batch.column(batch.schema.get_field_index(own_text))
                 lang = np.full(batch.num_rows, "und", object)
                 sure = np.zeros(batch.num_rows)
                 if m.langs:
@@ -248,13 +256,14 @@ def identify(df: DataFrame, model: Model | Models, *, doc_id: str = "doc_id", te
                     lang[known] = np.array(m.langs, object)[best[known]]
                     sure[known] = p[known]
                 own = [batch.column(i) for i in range(len(kept))] or [batch.column(0)]
-                held = batch.column(batch.schema.get_field_index("__held"))
-                yield pa.RecordBatch.from_arrays([*own, held, pa.array(lang, pa.string()), pa.array(sure)], [*(kept or ["doc_id"]), *new])
+                held = batch.column(batch.schema.get_field_index(new_held))
+                yield pa.RecordBatch.from_arrays([*own, held, pa.array(lang, pa.string()), pa.array(sure)], names)
 
     return source.mapInArrow(score, schema)
 
 
 def reject_unknown(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
-    """The rows of ``df`` whose language is recognised: some letter, and a posterior of at least ``least``."""
+    """The rows of ``df`` whose language is recognised: some letter, and a posterior of at least ``least``. Columns of any name pass through."""
     scored = identify(df, train(df, doc_id=doc_id, text=text, lang=lang), doc_id=doc_id, text=text, keep=True)
-    return scored.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*df.columns)
+    sure = (F.col(unused(df, NEW[1])) != "und") & (F.col(unused(df, NEW[2])) >= least)
+    return scored.filter(sure).select(*df.columns)

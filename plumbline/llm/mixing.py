@@ -4,14 +4,18 @@ Every source gets a target of words: its weight's share of all words, at most ``
 the excess reshared by weight until no source is above. A source first gives as many complete epochs as
 its target holds; the rest is drawn without replacement by exponential keys -ln(u)/quality in ascending
 order, whole documents until the budget is spent: a document is drawn if at least half of it fits.
-u comes from md5 of the doc_id, so reruns agree.
+u comes from md5 of the doc_id, or of the text where that is null, so reruns agree.
+
+Decisions are made on narrow rows: ids, sources, sizes and keys. What a source draws is a prefix of its rows in key
+order, so the decision about a whole document is a comparison with its source's last drawn row, and texts move once
+at most, to meet their weights.
 
 No source is sorted in one task. Keys are cut into ranges of the key's own distribution function (uniform
 for a given quality), sizes are summed per (source, range), the prefix sums run over ranges,
-and only the one range per source where the budget ends is sorted by document.
+and only the one range per source where the budget ends is sorted, equal rows of it as one.
 
-Defined results: null text has size 0 and takes 0; a null source is a source of its own, last in the weight order; a
-null doc_id has its own fixed key; rows repeating a doc_id share its key and are ordered by size, equal rows being
+Defined results: null text has size 0 and takes 0; a null source is a source of its own, last in the weight order;
+rows repeating a doc_id share its key and are ordered by size, equal rows being
 interchangeable; empty tables give empty results; columns of the input that clash with the new ones are left out.
 """
 
@@ -31,9 +35,10 @@ def words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: str, seed: int) -> Column:
-    """A number in (0, 1) from the first 52 bits of a hash of the id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+def uniform(doc_id: str, text: str, seed: int) -> Column:
+    """A number in (0, 1) from the first 52 bits of a hash of the id, or of the text where that is null."""
+    of_text = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), of_text)).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
@@ -72,40 +77,60 @@ def mix(
 
     quality: rows (doc_id, weight) with a positive sampling weight; documents without one have weight 1.
     """
-    new = {"size", "source_size", "target", "taken"}
-    own = [c for c in df.columns if c.lower() not in new] if keep else []
-    base = df.select(F.col(doc_id).alias("__id"), F.col(source).alias("__source"), words(text).alias("size"), *([F.struct(*own).alias("__row")] if keep else []))
-    if quality is not None:
-        q = quality.select(F.col("doc_id").alias("__q"), F.col("weight").cast("double").alias("__w")).filter(F.col("__w") > 0).groupBy("__q").agg(F.max("__w").alias("__w"))
-        base = base.join(q, F.col("__id") == F.col("__q"), "left").drop("__q")
-    else:
-        base = base.withColumn("__w", F.lit(1.0))
-    base = base.withColumn("__w", F.coalesce("__w", F.lit(1.0))).withColumn("__key", -F.log(uniform("__id", seed)) / F.col("__w"))
-    # A range number that grows with the key: the mean distribution function of the weights in use, here of weight 1.
     scale = 1 << 20
-    base = base.withColumn("__fine", F.floor((1 - F.exp(-F.col("__key"))) * scale).cast("long"))
-    base = table(base, "mix")  # read several times below; without it every pass counts the words again
-    sizes = base.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    if quality is not None:
+        quality = quality.select(F.col("doc_id").alias("q"), F.col("weight").cast("double").alias("w")).filter(F.col("w") > 0).groupBy("q").agg(F.max("w").alias("w"))
+
+    def keyed(*more: Column) -> DataFrame:
+        """id, source, size, key, fine of every row: fine is a range number that grows with the key (the distribution function at weight 1)."""
+        rows = df.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), words(text).alias("size"), (-F.log(uniform(doc_id, text, seed))).alias("e"), *more)
+        rows = rows.join(quality, F.col("id") == F.col("q"), "left") if quality is not None else rows.withColumn("w", F.lit(1.0))
+        rows = rows.withColumn("key", F.col("e") / F.coalesce("w", F.lit(1.0)))
+        return rows.withColumn("fine", F.floor((1 - F.exp(-F.col("key"))) * scale).cast("long"))
+
+    base = table(keyed().select("id", "source", "size", "key", "fine"), "mix")
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = targets(sizes.select("source", "source_size"), weights, most).join(sizes.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = plan.withColumn("width", F.greatest(F.lit(1), F.floor(F.lit(scale) * F.lit(float(rows_per_range)) / F.col("n"))).cast("long"))
-    dealt = base.join(plan, F.col("__source").eqNullSafe(F.col("source"))).withColumn("__range", F.floor(F.col("__fine") / F.col("width")).cast("long"))
+    plan = table(plan.drop("n"), "mix-plan")
+    range_ = F.floor(F.col("fine") / F.col("width")).cast("long")
+
+    def with_plan(rows: DataFrame, by: DataFrame) -> DataFrame:
+        return rows.join(by.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2"))).drop("source2")
 
-    ranges = dealt.groupBy("source", "__range").agg(F.sum("size").alias("in_range"), F.first("budget").alias("budget"))
-    upto = W.partitionBy("source").orderBy("__range").rowsBetween(W.unboundedPreceding, 0)
+    ranges = with_plan(base, plan).groupBy("source", range_.alias("range")).agg(F.sum("size").alias("in_range"), F.first("budget").alias("budget"))
+    upto = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, 0)
     ranges = ranges.withColumn("end", F.sum("in_range").over(upto))
     # the range where the budget ends; all before it are drawn whole
-    border = ranges.filter(F.col("end") >= F.col("budget")).groupBy("source").agg(F.min(F.struct("__range", (F.col("end") - F.col("in_range")).alias("start"))).alias("b"))
-    border = border.select(F.col("source").alias("s3"), F.col("b.__range").alias("last"), F.col("b.start").alias("start"))
-    dealt = dealt.join(border, F.col("source").eqNullSafe(F.col("s3")), "left")
-    at_border = dealt.filter(F.col("__range") == F.col("last"))
-    away = dealt.filter(F.col("last").isNull() | (F.col("__range") != F.col("last")))
-    upto_doc = W.partitionBy("source").orderBy("__key", F.col("__id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, 0)
-    drawn = F.col("start") + F.sum("size").over(upto_doc) - F.col("size") / 2.0 <= F.col("budget")
-    out = at_border.withColumn("__drawn", drawn).unionByName(away.withColumn("__drawn", F.col("last").isNull() | (F.col("__range") < F.col("last"))))
-    taken = F.col("size") * (F.col("epochs") + F.when(F.col("__drawn"), 1).otherwise(0))
-    head = [F.col(f"__row.{c}").alias(c) for c in own] if keep else [F.col("__id").alias("doc_id")]
+    border = ranges.filter(F.col("end") >= F.col("budget")).groupBy("source").agg(F.min(F.struct("range", (F.col("end") - F.col("in_range")).alias("start"))).alias("b"))
+    border = border.select(F.col("source").alias("s3"), F.col("b.range").alias("last"), F.col("b.start").alias("start"))
+    plan = plan.join(border, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
+
+    # Equal rows of the border range are one; the last of them that is drawn, and how many of its rows are.
+    row = F.struct("key", F.col("id").isNull().alias("none"), "id", "size")
+    equal = with_plan(base, plan).filter(range_ == F.col("last")).groupBy("source", "key", "id", "size").agg(F.count(F.lit(1)).alias("times"), F.first("start").alias("start"), F.first("budget").alias("budget"))
+    before = W.partitionBy("source").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("budget") - F.col("start") - F.coalesce(F.sum(F.col("size") * F.col("times")).over(before), F.lit(0))
+    fit = F.when(F.col("size") > 0, F.floor(left / F.col("size") + 0.5)).otherwise(F.when(left >= 0, F.col("times")).otherwise(0))
+    drawn = equal.select("source", row.alias("row"), "times", F.least(F.col("times"), fit).cast("long").alias("fit")).filter(F.col("fit") > 0)
+    drawn = drawn.groupBy("source").agg(F.max(F.struct("row", "fit", "times")).alias("d"))
+    drawn = drawn.select(F.col("source").alias("s4"), F.col("d.row").alias("end"), F.col("d.fit").alias("fit"), F.col("d.times").alias("times"))
+    plan = table(plan.join(drawn, F.col("source").eqNullSafe(F.col("s4")), "left").drop("s4"), "mix-decisions")
+
+    new = {"size", "source_size", "target", "taken"}
+    own = [c for c in df.columns if c.lower() not in new] if keep else []
+    rows = with_plan(keyed(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")) if keep else base, plan)
+    here = (range_ == F.col("last")) & F.col("end").isNotNull()
+    split = here & (row == F.col("end")) & (F.col("fit") < F.col("times"))
+    whole = F.col("last").isNull() | (range_ < F.col("last")) | (here & (row <= F.col("end")))
+    out = rows.withColumn("drawn", whole)
+    if not plan.filter(F.col("fit") < F.col("times")).isEmpty():  # equal rows of which only some are drawn
+        nth = F.row_number().over(W.partitionBy("source").orderBy("id"))
+        out = out.filter(~F.coalesce(split, F.lit(False))).union(rows.filter(split).withColumn("drawn", nth <= F.col("fit")))
+    taken = F.col("size") * (F.col("epochs") + F.when(F.col("drawn"), 1).otherwise(0))
+    head = [F.col(f"row.`{c}`").alias(c) for c in own] if keep else [F.col("id").alias("doc_id")]
     return out.select(*head, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 

@@ -6,15 +6,15 @@ first, so exact copies cost one row. The join then grows independent trees over
 
 * A tree's first level sends every class to the node of its smallest shingle under the tree's hash.
 * A node of at most ``leaf`` classes is compared exhaustively.
-* A larger node (in classes, or in shingles altogether) branches: two coordinates, chosen by the node's own hash, send each
-  class to the child of its minwise shingle there. If one child would hold half of the node, the classes are alike and
-  branching cannot part them: the node is a crowd, as is every node that is still large after ``depth`` levels.
+* A larger node (in classes, or in shingles altogether) branches: two coordinates, chosen by its root's hash and never twice on
+  a path, send each class to the child of its minwise shingle there. If one child would hold 70 % of the node, the classes are so
+  alike that branching parts them too slowly: the node is a crowd, as is every node that is still large after ``depth`` levels.
 * A crowd is compared with 32 pivots of its own first, block by block. After the last tree, only classes outside a crowd's
   main component are compared with all of it, in pairs of blocks of bounded size. A crowd of near copies
   costs about as many rows as it has classes, and nothing is capped.
 
 A pair of similarity s meets in one tree with probability s * (1 - (1 - s)^2)^levels, so trees repeat to the
-target: with 8 trees a pair at 0.85 is missed with probability under 1e-5. Trees grow in two rounds. The first
+target: with 8 trees a pair at 0.85 is missed with probability under 3e-5 even where all 6 levels are needed. Trees grow in two rounds. The first
 round's components let the second skip every node that lies within one component. Nodes with equal
 member sets are compared once. A comparison emits a spanning forest of its links, never all pairs.
 
@@ -85,13 +85,13 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """node, c, n, size, weight of all classes in the nodes worth comparing."""
+    """node, origin, c, n, size, weight of all classes in the nodes worth comparing."""
     kept = respread(_nodes(rows)).withColumnRenamed("node", "k")
-    return table(rows.select("node", "c", "n").join(kept, F.col("node") == F.col("k")).drop("k"), "members")
+    return table(rows.select("node", "origin", "c", "n").join(kept, F.col("node") == F.col("k")).drop("k"), "members")
 
 
 def _grow(rows: DataFrame, docs: DataFrame, comps: DataFrame | None, leaf: int, most: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
-    """Small nodes to compare exhaustively and crowds (None: there are none), as (node, c, n), from the first level's rows (node, c, n, comp)."""
+    """Small nodes to compare exhaustively and crowds (None: there are none), as (node, c, n), from the first level's rows (node, origin, c, n, comp)."""
     ready, crowds = [], []
     small = (F.col("size") <= leaf) & (F.col("weight") <= most)
     for level in range(depth + 1):
@@ -103,14 +103,15 @@ def _grow(rows: DataFrame, docs: DataFrame, comps: DataFrame | None, leaf: int,
         if level == depth:
             crowds.append(big.select("node", "c", "n"))
             break
-        pick = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int")
+        stride = F.shiftleft(F.pmod(F.xxhash64("origin", F.lit(1)), F.lit(COORDINATES // 2)), 1) + 1
+        pick = lambda j: F.pmod(F.xxhash64("origin") % COORDINATES + (2 * level + j) * stride, F.lit(COORDINATES)).cast("int")  # noqa: B023, E731
         with_sig = big.join(docs.select(F.col("id").alias("c2"), "sig"), F.col("c") == F.col("c2"))
-        child = lambda j: F.xxhash64("node", pick(j), F.element_at("sig", pick(j) + 1))
-        grown = table(with_sig.select("node", "c", "n", "size", F.explode(F.array(child(0), child(1))).alias("child")).distinct(), "grown")
+        child = lambda j: F.xxhash64("node", pick(j), F.element_at("sig", pick(j) + 1))  # noqa: B023, E731
+        grown = table(with_sig.select("node", "origin", "c", "n", "size", F.explode(F.array(child(0), child(1))).alias("child")).distinct(), "grown")
         widest = grown.groupBy("node", "child", "size").count().groupBy("node").agg(F.max(F.col("count") / F.col("size")).alias("share"))
-        dense = respread(widest.filter(F.col("share") >= 0.5).select(F.col("node").alias("k")))
+        dense = respread(widest.filter(F.col("share") >= 0.7).select(F.col("node").alias("k")))
         crowds.append(big.join(dense, F.col("node") == F.col("k"), "left_semi").select("node", "c", "n"))
-        rows = grown.join(dense, F.col("node") == F.col("k"), "left_anti").select(F.col("child").alias("node"), "c", "n").distinct()
+        rows = grown.join(dense, F.col("node") == F.col("k"), "left_anti").select(F.col("child").alias("node"), "origin", "c", "n").distinct()
         rows = _with_component(rows, comps)
     return reduce(DataFrame.union, ready), reduce(DataFrame.union, crowds) if crowds else None
 
@@ -248,7 +249,7 @@ def _join(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def near_duplicates(
-    df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 85, trees: tuple[int, int] = (3, 5), leaf: int = 512, most: int = 4_000_000, depth: int = 2
+    df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 85, trees: tuple[int, int] = (3, 5), leaf: int = 512, most: int = 4_000_000, depth: int = 6
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``df``."""
     kind = df.schema[doc_id].dataType.simpleString()
@@ -271,7 +272,7 @@ def near_duplicates(
         return components(links if comps is None else links.union(comps.select("id", "root")))
 
     for low, high in ((0, trees[0]), (trees[0], total)):
-        part = _with_component(rows.filter((F.col("tree") >= low) & (F.col("tree") < high)).select("node", "c", "n"), comps)
+        part = _with_component(rows.filter((F.col("tree") >= low) & (F.col("tree") < high)).select("node", F.col("node").alias("origin"), "c", "n"), comps)
         groups, crowd = _grow(part, docs, comps, leaf, most, depth)
         groups = groups.select("node", "c")
         if crowd is not None:

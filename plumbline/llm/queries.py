@@ -89,9 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 MIX_SQL = """
-WITH RECURSIVE d0 AS (SELECT doc_id, source, {size} AS size FROM {docs}),
+WITH RECURSIVE d0 AS (SELECT doc_id, source, {size} AS size, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS name FROM {docs}),
 q AS (SELECT doc_id, max(1.0::DOUBLE + coalesce(quality, 0)) AS weight FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-d AS (SELECT d0.*, -ln((('0x' || substr(md5('7:' || coalesce(d0.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+d AS (SELECT d0.*, -ln((('0x' || substr(md5('7:' || d0.name), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
            / coalesce(q.weight, 1.0) AS key
       FROM d0 LEFT JOIN q ON d0.doc_id = q.doc_id),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS w

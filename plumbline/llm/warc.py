@@ -3,8 +3,11 @@
 ``write_archives`` stores pages as WARC/1.1 records, one gzip member each, in files of about ``roll`` bytes in a folder that
 all executors share. ``read_archives`` reads files back record by record. When a check fails (gzip header, stream or checksum,
 version line, header, Content-Length, end of record, block or payload digest) it notes the failure, searches for the next place where a
-record begins (a gzip member that opens with a version line; in plain files a version line), goes on from there, and
-reports the bytes between as a gap. A record is held in memory whole, a file never is.
+record begins (a gzip member that opens with a version line, or a version line, in any file), goes on from there, and
+reports the bytes between as a gap. Members may hold several records: a damaged one is passed over inside its member, and
+a member that breaks off gives the records before the break. A record is held in memory whole (2 GiB at most, as a row can
+hold no more; a longer one is a gap), a member or file never is. ``gaps`` lists what was passed over; ``round_trip`` counts
+the records of each archive and stops if one did not come back.
 
 Equal payloads: of the pages with one payload digest, that with the smallest page_id is the response and the others
 revisit it, if the payload has at least ``least`` bytes. The smallest ids come from a pre-aggregated table
@@ -34,6 +37,7 @@ from .shared import drop_at_exit, respread, scratch, shuffle_partitions, table
 
 _ID = "urn:page:"
 CHUNK = 1 << 20
+MOST = 1 << 31
 
 
 def digest(data: bytes) -> str:
@@ -63,27 +67,92 @@ class Damage(ValueError):
     """A record that fails a check."""
 
 
+class Broken(Damage):
+    """A gzip member that can't be unpacked further."""
+
+
 class _File:
     """Reads at any offset of a file, through a window of one chunk."""
 
     def __init__(self, source):
         self.source, self.size, self.at, self.held = source, source.size(), 0, b""
+        self.known: dict[bytes, tuple[int, int]] = {}
 
     def read(self, at: int, n: int) -> bytes:
         if not (self.at <= at and at + n <= self.at + len(self.held)):
             self.source.seek(at)
-            self.at, self.held = at, self.source.read(max(n, CHUNK))
+            self.at, self.held = at, self.source.read(min(max(n, CHUNK), max(0, self.size - at)))
         return self.held[at - self.at : at - self.at + n]
 
-    def find(self, what: bytes, at: int) -> int:
-        """Next place of ``what``, or the size."""
-        while at < self.size:
-            part = self.read(at, CHUNK)
+    def find(self, what: bytes, at: int, most: int | None = None) -> int | None:
+        """Next place of ``what``, at most ``most`` bytes away."""
+        since, place = self.known.get(what, (0, -1))
+        if since <= at <= place:
+            return place if most is None or place - at <= most else None
+        here, stop = at, self.size if most is None else min(self.size, at + most)
+        while here < stop:
+            part = self.read(here, CHUNK)
             i = part.find(what)
             if i >= 0:
-                return at + i
-            at += max(1, len(part) - len(what) + 1)
-        return self.size
+                self.known[what] = at, here + i
+                return here + i if here + i <= stop else None
+            here += max(1, len(part) - len(what) + 1)
+        if stop == self.size:
+            self.known[what] = at, self.size
+        return None
+
+
+class _Member:
+    """The content of the gzip member at ``at``, unpacked while it is read, forwards only."""
+
+    def __init__(self, f: _File, at: int):
+        self.f, self.here, self.end = f, at, None
+        self.unpack, self.at, self.held = zlib.decompressobj(31), 0, bytearray()
+
+    def _more(self) -> bool:
+        part = self.unpack.unconsumed_tail
+        if not part and not self.unpack.eof:
+            part = self.f.read(self.here, CHUNK)
+            self.here += len(part)
+            if not part:
+                raise Broken("truncated member")
+        if self.unpack.eof:
+            if self.end is None:
+                self.here -= len(self.unpack.unused_data)
+                self.end = self.here
+            return False
+        try:
+            self.held += self.unpack.decompress(part, CHUNK)
+        except zlib.error as e:
+            raise Broken("gzip member") from e
+        return True
+
+    def place(self) -> int:
+        """Where in the file the content unpacked so far ends."""
+        return self.here - len(self.unpack.unconsumed_tail) - len(self.unpack.unused_data) if self.end is None else self.end
+
+    def read(self, at: int, n: int) -> bytes:
+        while self.at + len(self.held) < at + n and self._more():
+            pass
+        return bytes(self.held[at - self.at : at - self.at + n])
+
+    def find(self, what: bytes, at: int, most: int | None = None) -> int | None:
+        here = at
+        while most is None or here - at <= most:
+            i = self.held.find(what, here - self.at)
+            if i >= 0:
+                return self.at + i
+            here = max(here, self.at + len(self.held) - len(what) + 1)
+            if most is None:
+                self.forget(here)
+            if not self._more():
+                return None
+        return None
+
+    def forget(self, before: int) -> None:
+        if before > self.at:
+            del self.held[: before - self.at]
+            self.at = before
 
 
 def _headers(text: bytes) -> dict[str, str]:
@@ -98,7 +167,7 @@ def _headers(text: bytes) -> dict[str, str]:
 
 def _length(head: dict[str, str]) -> int:
     n = head.get("content-length", "")
-    if not n.isdigit():
+    if not (n.isascii() and n.isdigit()) or len(n) > 10 or int(n) >= MOST:
         raise Damage("Content-Length")
     return int(n)
 
@@ -126,88 +195,82 @@ def _checked(head: dict[str, str], block: bytes) -> dict:
     return {"head": head, "kind": kind, "payload": payload, "size": size, "digest": declared or None}
 
 
-def _parse(data: bytes) -> dict:
-    """A whole record in memory."""
-    if not data.startswith(b"WARC/1."):
+def _record_at(f: _File | _Member, at: int) -> tuple[dict, int]:
+    """The record at ``at`` and where it ends."""
+    if f.read(at, 7) != b"WARC/1.":
         raise Damage("version line")
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
+    end = f.find(b"\r\n\r\n", at, CHUNK)
+    if end is None:
         raise Damage("header")
-    head = _headers(data[:end].partition(b"\r\n")[2])
+    head = _headers(f.read(at, end - at).partition(b"\r\n")[2])
     n = _length(head)
-    if data[end + 4 + n :] != b"\r\n\r\n":
+    block = f.read(end + 4, n + 4)
+    if len(block) < n + 4:
+        raise Damage("truncated record")
+    if block[n:] != b"\r\n\r\n":
         raise Damage("end of record")
-    return _checked(head, data[end + 4 : end + 4 + n])
+    return _checked(head, block[:n]), end + 8 + n
 
 
-def _member_at(f: _File, at: int, most: int | None = None) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``; with ``most``, only its beginning."""
-    unpack, out, here, size = zlib.decompressobj(31), [], at, 0
-    while not unpack.eof:
-        part = f.read(here, min(CHUNK if most is None else 4096, f.size - here))
-        if not part:
-            raise Damage("truncated member")
+def _in_member(f: _File, at: int) -> Iterator[dict]:
+    """Records and gaps of one member. Each waits until the content after it could be unpacked, or the member's checksum was right."""
+    m, here, held = _Member(f, at), 0, None
+    while m.read(here, 1):
+        if held:
+            yield held
+            at = held["end"]
+        m.forget(here)
         try:
-            out.append(unpack.decompress(part, most or 0) if most else unpack.decompress(part))
-        except zlib.error as e:
-            raise Damage("gzip member") from e
-        here += len(part)
-        size += len(out[-1])
-        if most and size:
-            return b"".join(out), here
-    return b"".join(out), here - len(unpack.unused_data)
+            found, here = _record_at(m, here)
+        except Broken:
+            raise
+        except Damage as e:
+            found = {"kind": "gap", "reason": str(e)}
+            place = m.find(b"\nWARC/1.", here)
+            here = m.at + len(m.held) if place is None else place + 1
+        held = {"at": at, "end": m.place(), **found}
+    if held is None:
+        raise Damage("empty member")
+    yield {**held, "end": m.end}
 
 
-def _plain_at(f: _File, at: int) -> tuple[dict, int]:
-    if f.read(at, 7) != b"WARC/1.":
-        raise Damage("version line")
-    end = f.find(b"\r\n\r\n", at)
-    if end >= f.size or end - at > CHUNK:
-        raise Damage("header")
-    head = _headers(f.read(at, end - at).partition(b"\r\n")[2])
-    n = _length(head)
-    if end + 8 + n > f.size:
-        raise Damage("truncated record")
-    if f.read(end + 4 + n, 4) != b"\r\n\r\n":
-        raise Damage("end of record")
-    return _checked(head, f.read(end + 4, n)), end + 8 + n
+def _begins(f: _File, at: int, packed: bool) -> bool:
+    try:
+        if packed:
+            return _Member(f, at).read(0, 7) == b"WARC/1."
+        return f.read(at - 1, 1) == b"\n" or bool(_record_at(f, at))
+    except Damage:
+        return False
 
 
-def _next(f: _File, at: int, packed: bool) -> int:
+def _next(f: _File, at: int) -> int:
     """Where the next record may begin."""
     while True:
-        at = f.find(b"\x1f\x8b\x08" if packed else b"WARC/1.", at)
-        if at >= f.size:
-            return f.size
-        if not packed:
-            if f.read(at - 1, 1) == b"\n":
-                return at
-        else:
-            try:
-                if _member_at(f, at, 64)[0].startswith(b"WARC/1."):
-                    return at
-            except Damage:
-                pass
+        places = [(f.size if i is None else i, packed) for packed in (True, False) for i in (f.find(b"\x1f\x8b\x08" if packed else b"WARC/1.", at),)]
+        at, packed = min(places)
+        if at >= f.size or _begins(f, at, packed):
+            return at
         at += 1
 
 
 def salvage(source) -> Iterator[dict]:
     """Records and gaps of one file, in order; ``source`` has size(), seek() and read()."""
-    f = _File(source)
-    packed = f.read(0, 2) == b"\x1f\x8b" or (f.read(0, 7) != b"WARC/1." and f.find(b"\x1f\x8b\x08", 0) < min(f.size, f.find(b"WARC/1.", 0)))
-    at = 0
+    f, at = _File(source), 0
     while at < f.size:
         try:
-            if packed:
-                data, end = _member_at(f, at)
-                found = _parse(data)
+            if f.read(at, 2) == b"\x1f\x8b":
+                begin = at
+                for r in _in_member(f, begin):
+                    yield r
+                    at = r["end"]
             else:
-                found, end = _plain_at(f, at)
-            yield {"at": at, "end": end, **found}
+                found, end = _record_at(f, at)
+                yield {"at": at, "end": end, **found}
+                at = end
         except Damage as e:
-            end = _next(f, at + 1, packed)
+            end = _next(f, at + 1)
             yield {"at": at, "end": end, "kind": "gap", "reason": str(e)}
-        at = end
+            at = end
 
 
 def with_responses(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -283,13 +346,22 @@ def read_archives(files: DataFrame, *, payload: bool = True) -> DataFrame:
     return files.select("path").repartition(shuffle_partitions(files.sparkSession), "path").mapInArrow(run, RECORD)
 
 
+def gaps(found: DataFrame) -> DataFrame:
+    """path, at, end, reason of the bytes that ``read_archives`` passed over."""
+    return found.filter(F.col("kind") == "gap").select("path", "at", "end", "reason")
+
+
 def round_trip(pages: DataFrame, spark: SparkSession, *, least: int = 0) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back; one row per record."""
     folder = scratch(spark, "warc")
     files = table(write_archives(with_responses(pages, least), folder), "warc-files")
     drop_at_exit(spark, folder)
     kind = pages.schema["page_id"].dataType
-    found = read_archives(files, payload=False).filter(F.col("kind") != "gap")
+    found = table(read_archives(files, payload=False).drop("payload"), "warc-records")
+    written = files.agg(F.sum("records")).first()[0] or 0
+    read = found.filter(F.col("kind") != "gap").count()
+    if written != read:
+        raise RuntimeError(f"{written} records were written and {read} read; passed over: {gaps(found).limit(20).collect()}")
     return found.select(
         F.when(F.col("record_id") != "", F.col("record_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
         F.col("kind").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"),

@@ -287,6 +287,29 @@ def test_salvage(packed):
     assert len(cut) == 21 and cut[-1]["kind"] == "gap"
 
 
+def test_salvage_mixed_files():
+    """Several records a member, version lines between members, damage inside a member: positions part the file."""
+    rng = random.Random(5)
+    payloads = [bytes(rng.choice(b"abc\r\n\x1f\x8b") for _ in range(rng.randint(0, 3000))) for _ in range(10)]
+    r = [warc.record("response", str(i), "http://x", p) for i, p in enumerate(payloads)]
+    hurt, torn = bytearray(r[1]), bytearray(warc.member(r[0]))
+    hurt[-10] ^= 1
+    torn[30] ^= 0x55
+    cases = [
+        (warc.member(r[0] + r[1] + r[2]) + r[3] + warc.member(r[4]) + r[5] + r[6] + warc.member(r[7] + r[8]), list(range(9))),
+        (warc.member(r[9]) + bytes(torn) + r[3] + warc.member(r[4]), [9, 3, 4]),
+        (warc.member(r[0] + bytes(hurt) + r[2]) + warc.member(r[4]), [0, 2, 4]),
+        (warc.member(r[3] * 2000)[:-9], [3] * 1999),
+        (warc.member(b"") + r[2], [2]),
+        (b"", []),
+        (b"junk", []),
+    ]
+    for data, kept in cases:
+        got = list(warc.salvage(Source(data)))
+        assert [x["payload"] for x in got if x["kind"] != "gap"] == [payloads[i] for i in kept]
+        assert [x["at"] for x in got] == [0, *(x["end"] for x in got[:-1])][: len(got)] and (not got or got[-1]["end"] == len(data))
+
+
 def test_archives(spark, tmp_path):
     rows = [(3, "u", "same"), (1, "u", "same"), (2, "v", None), (5, "w", ""), (None, "n", "same"), (7, "x", "é" * 50_000), (1, "u", "same"), (9, None, "own")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
