@@ -7,14 +7,14 @@ first, so exact copies cost one row. The join then grows independent trees over
 * A tree's first level sends every class to the node of its smallest shingle under the tree's hash.
 * A node of at most ``leaf`` classes is compared exhaustively.
 * A larger node (in classes, or in shingles altogether) branches: two coordinates, chosen by its root's hash and never twice on
-  a path, send each class to the child of its minwise shingle there. If one child would hold 70 % of the node, the classes are so
+  a path, send each class to the child of its minwise shingle there. If one child would hold 85 % of the node, the classes are so
   alike that branching parts them too slowly: the node is a crowd, as is every node that is still large after ``depth`` levels.
 * A crowd is compared with 32 pivots of its own first, block by block. After the last tree, only classes outside a crowd's
   main component are compared with all of it, in pairs of blocks of bounded size. A crowd of near copies
   costs about as many rows as it has classes, and nothing is capped.
 
 A pair of similarity s meets in one tree with probability s * (1 - (1 - s)^2)^levels, so trees repeat to the
-target: with 8 trees a pair at 0.85 is missed with probability under 3e-5 even where all 6 levels are needed. Trees grow in two rounds. The first
+target: with 8 trees a pair at 0.85 is missed with probability under 6e-5 even where all 8 levels are needed. Trees grow in two rounds. The first
 round's components let the second skip every node that lies within one component. Nodes with equal
 member sets are compared once. A comparison emits a spanning forest of its links, never all pairs.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes
 from .components import components
-from .shared import respread, table, unused
+from .shared import Sieve, respread, table, unused
 
 COORDINATES = 16
 
@@ -109,7 +109,7 @@ def _grow(rows: DataFrame, docs: DataFrame, comps: DataFrame | None, leaf: int,
         child = lambda j: F.xxhash64("node", pick(j), F.element_at("sig", pick(j) + 1))  # noqa: B023, E731
         grown = table(with_sig.select("node", "origin", "c", "n", "size", F.explode(F.array(child(0), child(1))).alias("child")).distinct(), "grown")
         widest = grown.groupBy("node", "child", "size").count().groupBy("node").agg(F.max(F.col("count") / F.col("size")).alias("share"))
-        dense = respread(widest.filter(F.col("share") >= 0.7).select(F.col("node").alias("k")))
+        dense = respread(widest.filter(F.col("share") >= 0.85).select(F.col("node").alias("k")))
         crowds.append(big.join(dense, F.col("node") == F.col("k"), "left_semi").select("node", "c", "n"))
         rows = grown.join(dense, F.col("node") == F.col("k"), "left_anti").select(F.col("child").alias("node"), "origin", "c", "n").distinct()
         rows = _with_component(rows, comps)
@@ -122,7 +122,7 @@ def _apart(crowds: DataFrame, comps: DataFrame | None, leaf: int, most: int) ->
     parts = table(rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")), "crowd-parts")
     nodes = parts.groupBy("node").agg(F.max(F.struct("size", "weight", "comp")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight"))
     nodes = nodes.filter(F.col("main.size") < F.col("size"))
-    blocks = lambda size, weight: F.greatest(F.ceil(size / (leaf // 2)), F.ceil(weight / most)).cast("int")
+    blocks = lambda size, weight: F.greatest(F.ceil(size / (2 * leaf)), F.ceil(weight / most)).cast("int")
     nodes = nodes.select(
         F.col("node").alias("k"), F.col("main.comp").alias("main"), blocks(F.col("size"), F.col("weight")).alias("nb"),
         blocks(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("ns"),
@@ -249,7 +249,7 @@ def _join(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def near_duplicates(
-    df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 85, trees: tuple[int, int] = (3, 5), leaf: int = 512, most: int = 4_000_000, depth: int = 6
+    df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 85, trees: tuple[int, int] = (3, 5), leaf: int = 512, most: int = 4_000_000, depth: int = 8
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``df``."""
     kind = df.schema[doc_id].dataType.simpleString()
@@ -263,6 +263,8 @@ def near_duplicates(
     wanted = rows.join(respread(met), F.col("node") == F.col("k"), "left_semi").select(F.col("c").alias("w")).distinct()
     wanted = wanted.join(classes.select("c", "f1"), F.col("w") == F.col("c")).select("w", "f1")
     source = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    wanted = table(wanted, "wanted")
+    source = Sieve(wanted.select("w")).passed(source, F.col("id"))
     texts = table(source.join(respread(wanted), F.col("id") == F.col("w")).select("id", "f1", "text"), "texts")
 
     comps, crowds = None, []

@@ -68,5 +68,39 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+class Sieve:
+    """A bitmap of the hashes of some values, to leave most other rows out before they are shuffled.
+
+    It has about eight bits a value, 64 MB at most, whatever the number of values: that bounds what is broadcast. Rows whose value is
+    among them always pass; the exact join that follows decides about the others that do.
+    """
+
+    SIDE, MOST = 32_768, 1 << 29
+
+    def __init__(self, values: DataFrame):
+        (name,) = values.columns
+        wanted = 8 * max(self.SIDE, values.count())
+        self.bits = min(self.MOST, 1 << (wanted - 1).bit_length())
+        place = self._place(F.col(name))
+        bits = values.groupBy(F.floor(place / self.SIDE).cast("long").alias("at")).agg(F.bitmap_construct_agg(place % self.SIDE).alias("bits"))
+        self.table = table(bits, "sieve")
+
+    def _place(self, value: Column) -> Column:
+        return F.pmod(F.xxhash64(value, F.lit(17)), F.lit(self.bits))
+
+    def _marked(self, df: DataFrame, value: Column) -> DataFrame:
+        at, bits = unused(df, "sieve_at"), unused(df, "sieve_bits")
+        place = self._place(value)
+        joined = df.join(F.broadcast(self.table.select(F.col("at").alias(at), F.col("bits").alias(bits))), F.floor(place / self.SIDE) == F.col(at), "left")
+        byte = F.conv(F.hex(F.substring(bits, (F.floor(place % self.SIDE / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return joined.withColumn(at, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+
+    def passed(self, df: DataFrame, value: Column, through: bool = True) -> DataFrame:
+        """The rows of ``df`` that pass, or those that don't."""
+        marked = self._marked(df, value)
+        mark = F.col(unused(df, "sieve_at"))
+        return marked.filter(mark if through else ~mark).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
