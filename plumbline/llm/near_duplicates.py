@@ -198,7 +198,7 @@ def _forest(sets: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, i
 
 def _compare(groups: DataFrame, texts: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
     """Links a, b found in the groups (node, c)."""
-    rows = groups.join(texts, F.col("c") == F.col("id")).select("node", "c", "f1", "text")
+    rows = groups.join(texts.hint("merge"), F.col("c") == F.col("id")).select("node", "c", "f1", "text")
     rows = rows.repartition("node").sortWithinPartitions("node")
 
     def links_of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -265,7 +265,8 @@ def near_duplicates(
     source = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     wanted = table(wanted, "wanted")
     source = Sieve(wanted.select("w")).passed(source, F.col("id"))
-    texts = table(source.join(respread(wanted), F.col("id") == F.col("w")).select("id", "f1", "text"), "texts")
+    # Joins with texts are sort-merge joins at every size: what a small input could broadcast grows with the data.
+    texts = table(source.join(respread(wanted).hint("merge"), F.col("id") == F.col("w")).select("id", "f1", "text"), "texts")
 
     comps, crowds = None, []
 
