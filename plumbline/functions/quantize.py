@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,26 +112,56 @@ def stored_as(v: Column, kind: str) -> Column:
     """The vector after a round trip through any storage kind; cast pairs are compositions of two of these."""
     round_trip(np.zeros(1), kind)
 
-    @F.pandas_udf("array<double>")
-    def through(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda a: None if a is None else round_trip(a, kind))
+    @F.arrow_udf("array<double>")
+    def through(vectors: pa.Array) -> pa.Array:
+        at, flat = _flat(vectors, np.float32)
+        if kind in ("i8", "u8"):  # these depend on the vector's length
+            norm = np.sqrt(np.add.reduceat(np.append(flat.astype(np.float64) ** 2, 0.0), at[:-1])) if len(at) > 1 else np.zeros(0)
+            norm = np.repeat(np.where(np.diff(at) > 0, norm, 0.0), np.diff(at))
+            top, low = (127, -127) if kind == "i8" else (255, 0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out = np.where(norm > 0, np.trunc(np.clip(flat.astype(np.float64) * top / norm, low, top)) / top, 0.0)
+        else:
+            out = round_trip(flat, kind)
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out, pa.float64()), mask=_nulls(vectors))
 
-    return through(v)
+    return through(v.cast("array<float>"))
+
+
+def _flat(vectors: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of all vectors as one array; null vectors are empty, null values NaN."""
+    sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]), vectors.flatten().to_numpy(zero_copy_only=False).astype(kind)
+
+
+def _nulls(values: pa.Array) -> pa.Array | None:
+    return values.is_null() if values.null_count else None
 
 
 def decode_vector(data: Column) -> Column:
     """Little-endian float32 bytes to array<float>; null for a length that is no multiple of four."""
 
-    @F.pandas_udf("array<float>")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+    @F.arrow_udf("array<float>")
+    def decode(values: pa.Array) -> pa.Array:
+        values = values.cast(pa.large_binary())
+        size = pc.binary_length(values).fill_null(1).to_numpy(zero_copy_only=False)
+        good = size % 4 == 0
+        bytes_ = values.filter(pa.array(good)).to_pylist() if not good.all() else None
+        whole = b"".join(bytes_) if bytes_ is not None else values.buffers()[2]
+        begin = 0 if bytes_ is not None or not len(values) else int(np.frombuffer(values.buffers()[1], np.int64)[values.offset])
+        at = np.concatenate([[0], np.cumsum(np.where(good, size, 0) // 4)])
+        flat = np.frombuffer(whole, "<f4", int(at[-1]), begin) if at[-1] else np.zeros(0, np.float32)
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.float32()), mask=None if good.all() else pa.array(~good))
 
     return decode(data)
 
 
 def encode_vector(v: Column) -> Column:
-    @F.pandas_udf("binary")
-    def encode(values: pd.Series) -> pd.Series:
-        return values.map(lambda a: None if a is None else np.asarray(a, "<f4").tobytes())
+    @F.arrow_udf("binary")
+    def encode(values: pa.Array) -> pa.Array:
+        at, flat = _flat(values, np.dtype("<f4"))
+        none = values.is_null().to_numpy(zero_copy_only=False)
+        bits = None if not none.any() else pa.py_buffer(np.packbits(~none, bitorder="little").tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(values), [bits, pa.py_buffer((at * 4).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
     return encode(v)

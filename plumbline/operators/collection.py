@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..types import check_id, metric_kind
 from . import search
@@ -21,8 +22,12 @@ def delete(state: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def add(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted and rejected rows of an insert that refuses existing ids."""
-    return rows.join(state.select("id"), "id", "left_anti"), rows.join(state.select("id"), "id", "left_semi")
+    """Accepted and rejected rows of an insert that refuses existing ids, also those that an earlier row (by seq, if there is one) has just added."""
+    order = W.partitionBy("id").orderBy("seq" if "seq" in rows.columns else "id")
+    turn = rows.withColumn("turn", F.row_number().over(order))
+    known = state.select("id").distinct().withColumn("known", F.lit(True))
+    marked = turn.join(known, "id", "left").withColumn("ok", F.col("known").isNull() & (F.col("turn") == 1))
+    return marked.filter("ok").select(*rows.columns), marked.filter(~F.col("ok")).select(*rows.columns)
 
 
 def remove_count(state: DataFrame, ids: DataFrame) -> DataFrame:

@@ -91,6 +91,25 @@ def truncate_before(log: DataFrame, index: int) -> DataFrame:
     return log.join(ends, "segment", "left_semi")
 
 
+def numbered(rows: DataFrame, by: str, width: int = 1 << 16) -> DataFrame:
+    """rows with ``number``, their place from 0 in the order of the long column ``by``. Rows are counted by blocks of values, so no task orders them all."""
+    block = F.floor(F.col(by) / width)
+    upto = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n")).select("block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    inside = rows.withColumn("block", block).withColumn("inside", F.row_number().over(W.partitionBy("block").orderBy(by)))
+    return inside.join(before, "block").select(*rows.columns, (F.col("before") + F.col("inside") - 1).alias("number"))
+
+
+def overwrite_suffix(log: DataFrame, leader: DataFrame) -> DataFrame:
+    """A follower's log after the leader's entries: from the first index where both have an entry of another term on, its own entries go; new ones are appended."""
+    theirs = leader.select(F.col("log_index").alias("i"), F.col("term").alias("t"))
+    both = log.join(theirs, F.col("log_index") == F.col("i"), "left")
+    first = both.filter(F.col("i").isNotNull() & (F.col("t") != F.col("term"))).agg(F.min("log_index").alias("bad"))
+    kept = log.crossJoin(F.broadcast(first)).filter(F.col("bad").isNull() | (F.col("log_index") < F.col("bad"))).drop("bad")
+    new = leader.join(kept.select(F.col("log_index").alias("k")), F.col("log_index") == F.col("k"), "left_anti")
+    return kept.unionByName(new.select(*log.columns))
+
+
 def resolve_conflicts(log: DataFrame) -> DataFrame:
     """Of entries with equal index the highest term stays."""
     best = log.groupBy("log_index").agg(F.max_by(F.struct(*[c for c in log.columns if c != "log_index"]), "term").alias("r"))
@@ -102,16 +121,21 @@ def term_at(log: DataFrame, indexes: DataFrame) -> DataFrame:
 
 
 def batches(log: DataFrame, most: int = 64) -> DataFrame:
-    """log_index, batch: consecutive entries in batches of at most ``most``. Indexes are contiguous from 1 or 0."""
-    base = log.agg(F.min("log_index").alias("base"))
-    return log.crossJoin(F.broadcast(base)).select("log_index", F.floor((F.col("log_index") - F.col("base")) / most).cast("long").alias("batch"))
+    """log_index, batch: entries in order in batches of ``most``, whatever gaps their indexes have."""
+    return numbered(log.select("log_index"), "log_index").select("log_index", F.floor(F.col("number") / most).cast("long").alias("batch"))
 
 
-def commit_index(acks: DataFrame) -> DataFrame:
-    """One row: the largest index acknowledged by a majority of nodes. acks: node, match_index."""
-    order = W.orderBy(F.desc("match_index"), "node")
-    ranked = acks.select("match_index", F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(W.partitionBy(F.lit(1))).alias("n"))
-    return ranked.filter(F.col("r") == F.floor(F.col("n") / 2) + 1).select(F.col("match_index").alias("commit_index"))
+def commit_index(acks: DataFrame, log: DataFrame | None = None, term: int | None = None) -> DataFrame:
+    """One row: the largest index acknowledged by a majority of nodes. acks: node, match_index.
+
+    With a log (log_index, term) and the current term, the largest such index whose entry is of that term, null if there is none.
+    """
+    # of n values, the one with n // 2 before it from the top is the lower median
+    most = acks.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY match_index)").cast("long").alias("commit_index"))
+    if log is None:
+        return most
+    own = log.filter(F.col("term") == term).select("log_index")
+    return own.crossJoin(F.broadcast(most)).filter(F.col("log_index") <= F.col("commit_index")).agg(F.max("log_index").alias("commit_index"))
 
 
 def vote_majority(votes: DataFrame) -> DataFrame:
@@ -121,9 +145,69 @@ def vote_majority(votes: DataFrame) -> DataFrame:
 
 
 def snapshot_points(log: DataFrame, threshold: int) -> DataFrame:
-    """log_index of entries at which a snapshot is due: each time more than ``threshold`` entries are applied since the last."""
-    step = threshold + 1
-    return log.filter((F.col("log_index") > 0) & (F.pmod("log_index", F.lit(step)) == 0)).select("log_index")
+    """log_index of entries at which a snapshot is due: where the index is more than ``threshold`` past that of the last snapshot, at first 0.
+
+    Each point depends on the one before, so one task passes over the ordered indexes; it holds a batch of them at a time.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        last = 0
+        for batch in batches:
+            index, due, at = batch.column(0).to_numpy(), [], 0
+            while (at := int(index.searchsorted(last + threshold, side="right"))) < len(index):
+                last = int(index[at])
+                due.append(last)
+            yield pa.RecordBatch.from_arrays([pa.array(due, pa.int64())], ["log_index"])
+
+    ordered = log.filter(F.col("log_index").isNotNull()).select(F.col("log_index").cast("long")).orderBy("log_index")
+    return ordered.coalesce(1).mapInArrow(run, "log_index long")
+
+
+def request_outcomes(log: DataFrame, committed: int, size: int | None = None) -> DataFrame:
+    """request_id, log_index, committed, success, error of each request id: what a repeat of it is answered with.
+
+    log: log_index, request_id and, of applied entries, success and error. An entry past ``committed`` is pending, without an outcome; a
+    committed one replaces whatever was stored before, a pending one only what was not there. ``size``: the newest ids by log_index.
+    """
+    done = F.col("log_index") <= committed
+    named = log.filter(F.col("request_id") != "")
+    row = lambda *c: F.struct("log_index", *c)
+    out = named.groupBy("request_id").agg(
+        F.max(F.when(done, row("success", "error"))).alias("last"), F.min(F.when(~done, F.col("log_index"))).alias("first"),
+    )
+    known = F.col("last").isNotNull()
+    out = out.select(
+        "request_id", F.coalesce("last.log_index", "first").alias("log_index"), known.alias("committed"),
+        (known & F.coalesce("last.success", F.lit(False))).alias("success"), F.when(known, F.coalesce("last.error", F.lit(""))).otherwise("").alias("error"),
+    )
+    return out if size is None else out.orderBy(F.desc("log_index"), "request_id").limit(size)
+
+
+def outcome_snapshot(outcomes: DataFrame) -> DataFrame:
+    """The committed outcomes in the order of a snapshot: by log_index, then request_id."""
+    return outcomes.filter("committed").select("request_id", "log_index", "success", "error").orderBy("log_index", "request_id")
+
+
+def slot_counters(log: DataFrame, blocks: int = 1 << 16) -> DataFrame:
+    """log_index, event, free, slots: slots freed by deletes and taken again by later inserts, as running aggregates.
+
+    event is 1 for an insert of an id that is not live, -1 for a delete of one that is, 0 else. An insert takes a free slot if there is one.
+    """
+    by_id = W.partitionBy("id").orderBy("log_index")
+    before = F.coalesce(F.lag("cmd").over(by_id), F.lit("delete"))
+    event = F.when((F.col("cmd") != "delete") & (before == "delete"), 1).when((F.col("cmd") == "delete") & (before != "delete"), -1).otherwise(0)
+    rows = log.select("log_index", event.cast("long").alias("event"), F.floor(F.col("log_index") / blocks).alias("block"))
+    # live(t) is the running sum; slots(t) its running maximum, as a new slot is made only when none is free
+    inside = W.partitionBy("block").orderBy("log_index").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("here", F.sum("event").over(inside)).withColumn("top", F.max("here").over(inside))
+    ends = rows.groupBy("block").agg(F.sum("event").alias("sum"), F.max("here").alias("high"))
+    past = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("live", F.coalesce(F.sum("sum").over(past), F.lit(0)))
+    ends = ends.withColumn("most", F.coalesce(F.max(F.col("live") + F.col("high")).over(past), F.lit(0))).select(F.col("block").alias("b"), "live", "most")
+    slots = F.greatest("most", F.col("live") + F.col("top"), F.lit(0))
+    return rows.join(ends, F.col("block") == F.col("b")).select("log_index", "event", (slots - F.col("live") - F.col("here")).alias("free"), slots.alias("slots"))
 
 
 def retry_backoff(attempt: Column, base_ms: int = 50, max_ms: int = 2000) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,14 +115,68 @@ def term_lookup(spark, sf_dir):
     return log.term_at(rows, spark.range(0, 40).select((F.col("id") * 50).alias("log_index")))
 
 
-@query("SELECT event_id AS log_index, (event_id - (SELECT min(event_id) FROM events)) // 64 AS batch FROM events")
+_GAPS = "g AS (SELECT event_id + event_id // 7 * 3 + event_id // 1500 * 700 AS log_index FROM events)"
+
+
+def _with_gaps(spark, sf_dir):
+    """The same log with gaps between its indexes."""
+    i = F.col("log_index")
+    return commands(spark, sf_dir).withColumn("log_index", (i + F.floor(i / 7) * 3 + F.floor(i / 1500) * 700).cast("long"))
+
+
+@query(f"WITH {_GAPS} SELECT log_index, (row_number() OVER (ORDER BY log_index) - 1) // 64 AS batch FROM g")
 def batch_assignment(spark, sf_dir):
-    return log.batches(commands(spark, sf_dir))
+    return log.batches(_with_gaps(spark, sf_dir))
 
 
-@query("SELECT event_id AS log_index FROM events WHERE event_id > 0 AND event_id % 1001 = 0")
+@query(f"""WITH RECURSIVE {_GAPS}, p(i) AS (SELECT min(log_index) FROM g WHERE log_index > 1000
+ UNION ALL SELECT n.i FROM (SELECT min(g.log_index) AS i FROM p JOIN g ON g.log_index > p.i + 1000) n WHERE n.i IS NOT NULL) SELECT i AS log_index FROM p WHERE i IS NOT NULL""")
 def snapshot_points(spark, sf_dir):
-    return log.snapshot_points(commands(spark, sf_dir), 1000)
+    return log.snapshot_points(_with_gaps(spark, sf_dir), 1000)
+
+
+@query(f"""WITH {_LOG}, f AS (SELECT log_index, log_index // 1000 AS term, id FROM c WHERE log_index <= (SELECT max(event_id) * 3 // 4 FROM events)),
+l AS (SELECT log_index, CASE WHEN log_index < (SELECT max(event_id) // 3 FROM events) THEN log_index // 1000 ELSE log_index // 1000 + 1 END AS term, id * 10 AS id FROM c WHERE log_index <= (SELECT max(event_id) // 2 FROM events)),
+b AS (SELECT min(log_index) AS bad FROM f JOIN l USING (log_index) WHERE f.term <> l.term)
+SELECT * FROM f WHERE log_index < coalesce((SELECT bad FROM b), 9223372036854775807)
+UNION ALL SELECT l.* FROM l WHERE log_index >= coalesce((SELECT bad FROM b), 9223372036854775807)""")
+def overwrite_suffix(spark, sf_dir):
+    """A follower ahead of the leader: its entries from the first other term on go, also those past the leader's last."""
+    c = commands(spark, sf_dir)
+    last = c.agg(F.max("log_index")).first()[0] or 0
+    i, term = F.col("log_index"), F.floor(F.col("log_index") / 1000)
+    own = c.filter(i <= last * 3 // 4).select("log_index", term.alias("term"), "id")
+    leader = c.filter(i <= last // 2).select("log_index", F.when(i < last // 3, term).otherwise(term + 1).alias("term"), (F.col("id") * 10).alias("id"))
+    return log.overwrite_suffix(own, leader)
+
+
+_OUTCOMES = f"""{_LOG}, o AS (SELECT *, value < 400 AS success, CASE WHEN value < 400 THEN '' ELSE 'limit' END AS error FROM c),
+r AS (SELECT request_id, max(log_index) FILTER (log_index <= {_HALF}) AS done, min(log_index) FILTER (log_index > {_HALF}) AS first FROM o GROUP BY request_id),
+s AS (SELECT r.request_id, coalesce(done, first) AS log_index, done IS NOT NULL AS committed, done IS NOT NULL AND o.success AS success, CASE WHEN done IS NOT NULL THEN o.error ELSE '' END AS error FROM r JOIN o ON o.log_index = coalesce(done, first))"""
+
+
+def _outcomes(spark, sf_dir):
+    rows = commands(spark, sf_dir)
+    high = F.col("value") >= 400
+    return log.request_outcomes(rows.withColumn("success", ~high).withColumn("error", F.when(high, "limit").otherwise("")), _half(rows))
+
+
+@query(f"WITH {_OUTCOMES} SELECT * FROM s")
+def request_outcomes(spark, sf_dir):
+    return _outcomes(spark, sf_dir)
+
+
+@query(f"WITH {_OUTCOMES} SELECT request_id, log_index, success, error FROM s WHERE committed")
+def outcome_snapshot(spark, sf_dir):
+    return log.outcome_snapshot(_outcomes(spark, sf_dir))
+
+
+@query(f"""WITH {_LOG}, e AS (SELECT log_index, cmd, coalesce(lag(cmd) OVER (PARTITION BY id ORDER BY log_index), 'delete') AS before FROM c),
+n AS (SELECT log_index, CASE WHEN cmd <> 'delete' AND before = 'delete' THEN 1 WHEN cmd = 'delete' AND before <> 'delete' THEN -1 ELSE 0 END::BIGINT AS event FROM e),
+l AS (SELECT *, sum(event) OVER (ORDER BY log_index) AS live FROM n),
+m AS (SELECT *, greatest(0, max(live) OVER (ORDER BY log_index)) AS slots FROM l) SELECT log_index, event, (slots - live)::BIGINT AS free, slots::BIGINT AS slots FROM m""")
+def slot_counters(spark, sf_dir):
+    return log.slot_counters(commands(spark, sf_dir), 1000)
 
 
 @query(f"{_LAST} SELECT count(*) FILTER (cmd <> 'delete') AS size, count(*) FILTER (cmd = 'delete') AS deleted, count(*) AS total_slots FROM s")
@@ -174,6 +228,15 @@ def commit_index_by_quorum(spark, sf_dir):
     return log.commit_index(s.select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") * 7919 % 1000).alias("match_index")))
 
 
+@query(f"""WITH {_LOG}, a AS (SELECT s_suppkey AS node, s_suppkey * 7919 % 1000 AS m FROM supplier), r AS (SELECT m, row_number() OVER (ORDER BY m DESC, node) AS r, count(*) OVER () AS n FROM a)
+SELECT max(log_index) AS commit_index FROM c WHERE log_index // 7 % 3 = 2 AND log_index <= (SELECT m FROM r WHERE r = n // 2 + 1)""")
+def commit_index_current_term(spark, sf_dir):
+    """Only entries of the current term are committed by counting."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    acks = s.select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") * 7919 % 1000).alias("match_index"))
+    return log.commit_index(acks, commands(spark, sf_dir).withColumn("term", F.floor(F.col("log_index") / 7) % 3), 2)
+
+
 @query("WITH v AS (SELECT n_regionkey::BIGINT AS term, n_nationkey % 3 > 0 AS granted FROM nation) SELECT term, count(*) FILTER (granted) AS granted, count(*) FILTER (granted) >= count(*) // 2 + 1 AS elected FROM v GROUP BY term")
 def vote_majority(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -191,6 +254,16 @@ def retry_backoff(spark, sf_dir):
     return spark.range(0, 12).select(F.col("id").alias("attempt"), log.retry_backoff(F.col("id")).alias("wait_ms"))
 
 
+@query(f"""WITH RECURSIVE {_LOG}, z AS (SELECT log_index, strlen(request_id) + 12 AS size, row_number() OVER (ORDER BY log_index) AS n FROM c),
+w(n, log_index, segment, used) AS (SELECT n, log_index, 0::BIGINT, size FROM z WHERE n = 1
+ UNION ALL SELECT z.n, z.log_index, CASE WHEN w.used + z.size > 1000 THEN w.segment + 1 ELSE w.segment END, CASE WHEN w.used + z.size > 1000 THEN z.size ELSE w.used + z.size END FROM w JOIN z ON z.n = w.n + 1)
+SELECT log_index, segment FROM w""")
+def segment_rotation(spark, sf_dir):
+    """A segment ends before the record that would take it past its bound."""
+    rows = commands(spark, sf_dir).select("log_index", F.col("request_id").cast("binary").alias("payload"))
+    return segments.assign_segments(rows, 1000).select("log_index", "segment")
+
+
 @query("SELECT event_id AS log_index, md5(user_id::VARCHAR || '-' || props) AS payload_md5 FROM events")
 def segment_round_trip(spark, sf_dir):
     """The log packed into binary segments and read back."""
@@ -202,7 +275,7 @@ def segment_round_trip(spark, sf_dir):
 @query(f"{_LAST} SELECT id, value, log_index FROM s WHERE cmd <> 'delete'")
 def streaming_apply(spark, sf_dir):
     """The events as a stream of files, applied batch by batch."""
-    base = f"{checkpoint_dir(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.write.parquet(f"{base}/in")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics, quantize
-from ..operators import aggregate, ann, cluster, collection, matching, search
+from ..operators import aggregate, ann, cluster, collection, log, matching, search, workload
 
 QUERIES, ORACLE = {}, {}
 
@@ -148,11 +148,11 @@ def haversine_pairs(spark, sf_dir):
     return search.pairwise(rows, _few(rows, 20), "haversine")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE, -3.0::DOUBLE), (2, 0.0, 1.0), (3, 0.0, -5.0)) t(id, cos, ip)")
+@query("SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE, 1.0::DOUBLE), (2, 0.0, 1.0), (3, 0.0, -5.0)) t(id, cos, ip)")
 def cos_zero_edges(spark, sf_dir):
     rows = spark.createDataFrame([(1, [0.0, 0.0], [1.0, 2.0]), (2, [0.0, 0.0], [0.0, 0.0]), (3, [2.0, 0.0], [3.0, 0.0])], "id long, a array<double>, b array<double>")
-    ip = F.when(F.col("id") == 1, F.lit(-3.0)).otherwise(metrics.inner_product(F.col("a"), F.col("b")))
-    return rows.select("id", search.rounded(metrics.cosine(F.col("a"), F.col("b"))).alias("cos"), search.rounded(ip).alias("ip"))
+    a, b = F.col("a"), F.col("b")
+    return rows.select("id", search.rounded(metrics.cosine(a, b)).alias("cos"), search.rounded(metrics.inner_product(a, b)).alias("ip"))
 
 
 @query(f"WITH {pairs_sql(DIST['hamming'], SIGN)} SELECT qid, id, distance FROM d")
@@ -245,13 +245,13 @@ def search_radius(spark, sf_dir):
     return search.within(rows, _few(rows, 20), 1.5, "l2sq")
 
 
-@query(topk_sql(DIST["ip"], SCALED, 10, queries_if="vec_id < 20"))
+@query(f"""WITH {pairs_sql(DIST['hamming'], SIGN, queries_if='vec_id < 20')}, h AS (SELECT *, row_number() OVER (PARTITION BY qid, id % 2 ORDER BY distance, id) AS n FROM d),
+r AS (SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY distance, id % 2, id) AS rank FROM h WHERE n <= 10) SELECT * FROM r WHERE rank <= 10""")
 def search_merge_two_halves(spark, sf_dir):
-    rows = scaled(spark, sf_dir)
-    q = _few(rows, 20)
-    halves = [search.search(rows.filter(F.col("id") % 2 == h), q, 10, "ip") for h in (0, 1)]
-    merged = search.merge_hits(halves[1], halves[0], 10)
-    return search.rank_hits(merged.drop("rank"), 10)
+    """Bit distances have many ties: among equal ones the incoming half, that of the even ids, goes first."""
+    rows = _with(members(spark, sf_dir), quantize.binarize)
+    even, odd = (search.search(rows.filter(F.col("id") % 2 == h), _few(rows, 20), 10, "hamming", plan="expression") for h in (0, 1))
+    return search.merge_hits(odd, even, 10)
 
 
 @query(f"""WITH {pairs_sql(DIST['cos'], SCALED, members_if='label = 3 AND vec_id < 60')}, {ranked_sql(10)}, s AS (SELECT qid, unnest(range(1, 11)) AS rank FROM p)
@@ -276,11 +276,14 @@ def search_single_limit(spark, sf_dir):
     return search.search_one(rows, [0.5, 0.5], 10, "l2sq")
 
 
-@query(f"WITH {pairs_sql(DIST['l2sq'], SCALED, members_if='vec_id <= 250')}, {ranked_sql(5)} SELECT qid, id, distance, rank FROM top")
+@query(f"WITH {pairs_sql(DIST['l2sq'], SCALED, members_if='vec_id * 2 <= 501 AND NOT (vec_id % 5 = 0 AND vec_id * 2 + 301 <= 501)')}, {ranked_sql(5)} SELECT qid, id, distance, rank FROM top")
 def search_as_of(spark, sf_dir):
-    """Only what was committed up to an index is visible; ids are the commit order here."""
+    """The collection as its command log makes it up to an index: vectors are inserted in id order, some deleted later."""
     rows = scaled(spark, sf_dir)
-    return search.search(rows, _few(rows), 5, "l2sq", predicate=F.col("id") <= 250)
+    inserts = rows.select((F.col("id") * 2).alias("log_index"), "id", F.lit("upsert").alias("cmd"), F.col("vec").alias("value"))
+    deletes = rows.filter(F.col("id") % 5 == 0).select((F.col("id") * 2 + 301).alias("log_index"), "id", F.lit("delete").alias("cmd"), F.lit(None).cast("array<double>").alias("value"))
+    state = log.live_state(inserts.union(deletes), 501)
+    return search.search(state.select("id", F.col("value").alias("vec")), _few(rows), 5, "l2sq")
 
 
 @query("SELECT vec_id AS qid, n AS visited_members, n AS computed_distances, least(n, 10) AS count FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id < 5")
@@ -446,10 +449,7 @@ def cluster_rep_nn(spark, sf_dir):
 
 @query(_NEAREST.replace("REPS_IF", LEVEL + " >= 1") + ", k AS (SELECT e.label::BIGINT AS id, cluster, distance, row_number() OVER (PARTITION BY e.label ORDER BY distance, cluster) AS n FROM a JOIN embeddings e ON e.vec_id = a.id) SELECT id, cluster, distance FROM k WHERE n = 1")
 def cluster_of_keys(spark, sf_dir):
-    rows = members(spark, sf_dir)
-    reps = cluster.representatives(rows, 1)
-    each = cluster.assign(rows, reps).join(rows.select("id", "label"), "id")
-    return each.groupBy(F.col("label").cast("long").alias("id")).agg(F.min(F.struct("distance", "cluster")).alias("b")).select("id", "b.cluster", "b.distance")
+    return cluster.cluster_keys(members(spark, sf_dir), 1, key="label").select(F.col("label").cast("long").alias("id"), "cluster", "distance")
 
 
 @query()
@@ -486,13 +486,32 @@ def get_key(spark, sf_dir):
     return collection.get(members(spark, sf_dir).select("id", "label"), 42)
 
 
-@query("SELECT k AS id, (e.vec_id IS NULL) AS accepted FROM (SELECT vec_id * 2 AS k FROM embeddings) s LEFT JOIN embeddings e ON e.vec_id = s.k")
+@query("""WITH s AS (SELECT vec_id * 2 AS k, 1 AS seq FROM embeddings UNION ALL SELECT vec_id * 3, 2 FROM embeddings),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS turn FROM s)
+SELECT k AS id, seq, (e.vec_id IS NULL AND turn = 1) AS accepted FROM n LEFT JOIN embeddings e ON e.vec_id = k""")
 def add_refuses_duplicates(spark, sf_dir):
+    """Ids that exist are refused, and those that come twice are added once."""
     rows = members(spark, sf_dir).select("id")
-    yes, no = collection.add(rows, rows.select((F.col("id") * 2).alias("id")))
+    new = rows.select((F.col("id") * 2).alias("id"), F.lit(1).alias("seq")).union(rows.select(F.col("id") * 3, F.lit(2)))
+    yes, no = collection.add(rows, new)
     return yes.withColumn("accepted", F.lit(True)).unionByName(no.withColumn("accepted", F.lit(False)))
 
 
+@query("""WITH RECURSIVE w(id, d, s) AS (SELECT vec_id, 0, ((vec_id::HUGEINT * 11400714819323198485) + 11400714819323198485) & 18446744073709551615 FROM embeddings
+ UNION ALL SELECT id, d + 1, (WITHOUT) FROM w WHERE d < 6),
+x AS (SELECT id, d - 1 AS dim, ((s * 2685821657736338717) & 65535)::BIGINT AS part FROM w WHERE d > 0) SELECT id, dim, part FROM x""".replace(
+    "(WITHOUT)", "xor(xor(xor(s, s >> 12), (xor(s, s >> 12) << 25) & 18446744073709551615), xor(xor(s, s >> 12), (xor(s, s >> 12) << 25) & 18446744073709551615) >> 27)"))
+def workload_vectors(spark, sf_dir):
+    """The generator's vector of every id."""
+    made = members(spark, sf_dir).select("id", workload.vector_for(F.col("id"), 6).alias("vec"))
+    return made.select("id", F.posexplode("vec").alias("dim", "value")).select("id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double") * 65535).cast("long").alias("part"))
+
+
+@query("SELECT i, CASE WHEN i % 10 < 5 THEN 'upsert' WHEN i % 10 < 7 THEN 'delete' ELSE 'search' END AS op FROM range(5000) t(i)")
+def workload_full(spark, sf_dir):
+    return workload.operations(spark, 5000, "full")
+
+
 @query("SELECT count(*) AS removed FROM embeddings WHERE vec_id < 700 AND vec_id % 7 = 0")
 def remove_keys_count(spark, sf_dir):
     return collection.remove_count(members(spark, sf_dir), spark.range(0, 100).select((F.col("id") * 7).alias("id")))

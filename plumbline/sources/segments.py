@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import struct
 import time
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -39,12 +40,26 @@ def decode_records(data: bytes) -> tuple[list[bytes], int]:
 
 
 def assign_segments(log: DataFrame, max_bytes: int, payload: str = "payload") -> DataFrame:
-    """Adds segment: entries in index order, a new segment where the bytes so far would pass ``max_bytes``, by running size."""
-    from pyspark.sql import Window as W
+    """Adds segment: a new one begins before the record that would take the current one past ``max_bytes``; a larger record has one of its own.
 
-    size = F.octet_length(F.col(payload)) + F.lit(_HEAD.size)
-    upto = W.orderBy("log_index").rowsBetween(W.unboundedPreceding, -1)
-    return log.withColumn("segment", F.floor(F.coalesce(F.sum(size).over(upto), F.lit(0)) / max_bytes).cast("long"))
+    Where a segment begins depends on the one before, so one task passes over indexes and sizes, ordered; payloads stay where they are and meet
+    the segments' first indexes in a join.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used, segment = 0, -1
+        for batch in batches:
+            out = []
+            for index, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if segment < 0 or (used and used + size > max_bytes):
+                    segment, used = segment + 1, 0
+                used += size
+                out.append(segment)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["i", "segment"])
+
+    size = (F.octet_length(F.col(payload)) + F.lit(_HEAD.size)).cast("long").alias("size")
+    placed = log.select("log_index", size).orderBy("log_index").coalesce(1).mapInArrow(run, "i long, segment long")
+    return log.join(placed, F.col("log_index") == F.col("i")).select(*log.columns, "segment")
 
 
 def pack_segments(log: DataFrame) -> DataFrame:
@@ -78,12 +93,19 @@ def unpack_segments(segments: DataFrame) -> DataFrame:
 
 
 def save_snapshot(collection: DataFrame, path: str, *, index: int, term: int, metric: str, data_type: str) -> None:
-    """Vectors first, then the metadata that makes the snapshot valid."""
+    """Vectors and metadata go to a folder beside it, which then takes the snapshot's name: readers see the old one or the new one whole."""
     spark = collection.sparkSession
     dim = collection.agg(F.max(F.size("vec"))).first()[0] or 0
-    collection.write.mode("overwrite").parquet(f"{path}/snap={index}/vectors")
     meta = {"raft_term": term, "raft_index": index, "dim": dim, "metric": metric, "data_type": data_type, "created_at": int(time.time())}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/snap={index}/meta")
+    fresh, old, place = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"_tmp-{index}-{uuid.uuid4().hex}", f"_old-{index}-{uuid.uuid4().hex}", f"snap={index}"))
+    collection.write.parquet(f"{fresh}/vectors")
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.text(f"{fresh}/meta")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    replaced = files.exists(place) and files.rename(place, old)
+    if not files.rename(fresh, place):
+        raise OSError(f"could not rename {fresh} to {place}")
+    if replaced:
+        files.delete(old, True)
 
 
 def load_snapshot(spark: SparkSession, path: str, index: int, *, dim: int, metric: str, data_type: str) -> tuple[DataFrame, dict]:
