@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import respread, table
+from .shared import Scope, respread, table
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -34,13 +34,17 @@ def _mark(edges: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """Columns a, b (non-null ids of one type) in; id, root out for every linked id, root the smallest of its component."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") != F.col("v")).distinct()
-    edges = table(edges, "links")
-    mark = _mark(edges)
-    while mark[0]:
-        step = _large(edges).filter(F.col("u") != F.col("v"))
-        edges = table(_small(step).distinct(), "links")
-        old, mark = mark, _mark(edges)
-        if old == mark:
-            break
+    with Scope() as scope:
+        edges = table(edges, "links")
+        mark = _mark(edges)
+        while mark[0]:
+            step = _large(edges).filter(F.col("u") != F.col("v"))
+            edges = table(_small(step).distinct(), "links")
+            old, mark = mark, _mark(edges)
+            if old == mark:
+                break
+        scope.keep(edges)
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    return roots.union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    out = roots.union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    out.scratch_path = edges.scratch_path
+    return out

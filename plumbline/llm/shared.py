@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,13 +44,63 @@ def drop_at_exit(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+_scopes: list[dict[str, SparkSession]] = [{}]
+_swept = [0.0]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scope:
+    """Scratch tables written inside go when it ends, but those kept: they pass to the scope around it."""
+
+    def __enter__(self) -> Scope:
+        _scopes.append({})
+        self.kept: set[str] = set()
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept |= {t.scratch_path for t in tables}
+
+    def __exit__(self, kind, *_) -> None:
+        own = _scopes.pop()
+        for path, spark in own.items():
+            if path in self.kept or kind is not None:
+                _scopes[-1][path] = spark
+            else:
+                _delete(spark, path)
+
+
+def release(spark: SparkSession, in_use: DataFrame) -> None:
+    """Scratch tables that finished operators left for their results go, but those that ``in_use`` reads."""
+    read = [f.replace("file:///", "file:/") for f in in_use.inputFiles()] if _scopes[0] else []
+    for path in list(_scopes[0]):
+        plain = path.replace("file:///", "file:/")
+        if not any(f.startswith(f"{plain}/") for f in read):
+            if _scopes[0].pop(path) is spark:
+                _delete(spark, path)
+
+
+def _sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more; it learns of them when the JVM collects garbage."""
+    if time.monotonic() - _swept[0] > 3:
+        spark.sparkContext._jvm.System.gc()
+        _swept[0] = time.monotonic()
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
     drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _scopes[-1][path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    _sweep(spark)
+    return out
 
 
 def respread(df: DataFrame) -> DataFrame:
