@@ -237,8 +237,9 @@ def identify(df: DataFrame, model: Model | Models, *, doc_id: str = "doc_id", te
     if not keep:
         source = source.select(own_id, own_text, new_held)
     kept = df.columns if keep else []
-    fields = [f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in kept] or [f"doc_id {df.schema[doc_id].dataType.simpleString()}"]
-    names = [*kept, new_held, new_lang, new_score] if keep else ["doc_id", "held_out", "lang_pred", "score"]
+    source = source.toDF(*[f"c{i}" for i in range(len(kept))], own_id, own_text, new_held)  # columns of any name pass the Arrow stage by number
+    fields = [f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)] or [f"doc_id {df.schema[doc_id].dataType.simpleString()}"]
+    names = [*(f"c{i}" for i in range(len(kept))), new_held, new_lang, new_score] if keep else ["doc_id", "held_out", "lang_pred", "score"]
     schema = ", ".join(fields) + ", " + ", ".join(f"{n} {t}" for n, t in zip(names[-3:], ("boolean", "string", "double"), strict=True))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +260,11 @@ def identify(df: DataFrame, model: Model | Models, *, doc_id: str = "doc_id", te
                 held = batch.column(batch.schema.get_field_index(new_held))
                 yield pa.RecordBatch.from_arrays([*own, held, pa.array(lang, pa.string()), pa.array(sure)], names)
 
-    return source.mapInArrow(score, schema)
+    return source.mapInArrow(score, schema).toDF(*(kept or ["doc_id"]), *names[-3:])
 
 
 def reject_unknown(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
     """The rows of ``df`` whose language is recognised: some letter, and a posterior of at least ``least``. Columns of any name pass through."""
     scored = identify(df, train(df, doc_id=doc_id, text=text, lang=lang), doc_id=doc_id, text=text, keep=True)
     sure = (F.col(unused(df, NEW[1])) != "und") & (F.col(unused(df, NEW[2])) >= least)
-    return scored.filter(sure).select(*df.columns)
+    return scored.filter(sure).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -312,15 +312,3 @@ def test_archives(spark, tmp_path):
     assert warc.round_trip(pages.filter("page_id > 100"), spark).count() == 0
     files = warc.write_archives(warc.with_responses(pages), f"file://{tmp_path}/w", roll=300, packed=False)
     assert warc.read_archives(files.cache()).filter("kind = 'response'").count() == 5 and files.count() > 1
-
-
-def test_pipeline_stages(spark, sf):
-    import corpus_pipeline
-
-    frame = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, before = frame.columns, frame.count()
-    for name, stage in corpus_pipeline.STAGES:
-        frame = stage(spark, frame, sf).cache()
-        assert 0 < frame.count() <= before and (name == "mix" or frame.columns == columns)
-        before = frame.count()
-    assert [r.taken > 0 for r in frame.collect()] and corpus_pipeline.run(spark, sf).count() == before
