@@ -7,8 +7,8 @@ their last two bytes. The network predicts a token's class from the classes of t
     score(c | a, b) = (R[a] A + R[b] B) . Q[c] + bias[c]
 
 and the smoothed counts spread a class over its words, so that log10 p(word) = log10 P(class | a, b) + log10((c + 0.1) / mass of the class).
-All events, the one unknown word included, add up to 1. Batched matrix products over all pairs of
-context classes give the normalised table that scoring reads.
+All events, the one unknown word included, add up to 1. A score splits into one table for each context place, so batched matrix
+products over all pairs of contexts are needed for the normalisers alone, which scoring reads from a table.
 
 Counts (c, N, V) cover every training row: words are counted where they are read and added up by word. The
 network is trained by every partition on its own rows, on every position of every document: each round takes the next
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textbytes
 from .shared import crc_mod, respread, table
 
-CLASSES, TAILS, DIM = 256, 96, 24
+CLASSES, TAILS, DIM = 1024, 128, 24
 SINGLES = CLASSES - TAILS
 END = np.int64(0x0E0D)
 SMOOTH = 0.1
@@ -176,16 +176,25 @@ class Network:
             at += n
         return self
 
-    def table(self) -> np.ndarray:
-        """log P(class | a, b), natural, for all pairs of contexts; row a * CLASSES + b, a the nearer one."""
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural logs: the score of a class by the nearer and by the farther context (bias included), and the normaliser of each pair of contexts."""
         r, q, bias, near, far = self.parts
-        p, f = r @ near @ q.T, r @ far @ q.T
-        out = np.empty((CLASSES, CLASSES, CLASSES), np.float32)
-        for a in range(CLASSES):
-            s = p[a] + f + bias
-            s -= s.max(axis=1, keepdims=True)
-            out[a] = s - np.log(np.exp(s).sum(axis=1, keepdims=True))
-        return out.reshape(-1, CLASSES)
+        p, f = r @ near @ q.T, r @ far @ q.T + bias
+        p, f = p - p.max(axis=1, keepdims=True), f - f.max(axis=1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            return p, f, np.log(np.exp(p) @ np.exp(f).T)
+
+    def log_prob(self, near: np.ndarray, far: np.ndarray, target: np.ndarray) -> np.ndarray:
+        p, f, z = self.tables()
+        return p[near, target] + f[far, target] - z[near, far]
+
+
+def _by_class(classes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct classes and the sums of their rows."""
+    order = np.argsort(classes.astype(np.uint16), kind="stable")
+    classes = classes[order]
+    first = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
+    return classes[first], np.add.reduceat(rows[order], first)
 
 
 class Trainer:
@@ -209,11 +218,16 @@ class Trainer:
         g_up = (1 / (1 + np.exp(-np.clip(up, -30, 30))) - 1).astype(np.float32)
         g_down = (1 / (1 + np.exp(-np.clip(down, -30, 30)))).astype(np.float32)
         g_pred = g_up[:, None] * q[target] + g_down @ q[neg]
-        hot = lambda i: (i[:, None] == np.arange(CLASSES)[None, :]).astype(np.float32)
-        ht, hn = hot(target), hot(neg)
-        g_q = ht.T @ (g_up[:, None] * pred) + hn.T @ (g_down.T @ pred)
-        g_bias = ht.T @ g_up + hn.T @ g_down.sum(axis=0)
-        g_r = hot(one).T @ (g_pred @ near.T) + hot(two).T @ (g_pred @ far.T)
+        g_q, g_bias, g_r = np.zeros_like(q), np.zeros_like(bias), np.zeros_like(r)
+        with_bias = lambda g, x: np.concatenate([g[:, None] * x, g[:, None]], axis=1)
+        down_rows = np.concatenate([g_down.T @ pred, g_down.sum(axis=0)[:, None]], axis=1)
+        for classes, rows in ((target, with_bias(g_up, pred)), (neg, down_rows)):
+            at, sums = _by_class(classes, rows)
+            g_q[at] += sums[:, :-1]
+            g_bias[at] += sums[:, -1]
+        for classes, rows in ((one, g_pred @ near.T), (two, g_pred @ far.T)):
+            at, sums = _by_class(classes, rows)
+            g_r[at] += sums
         grads = [g_r, g_q, g_bias, ra.T @ g_pred, rb.T @ g_pred]
         for p, g, s in zip(self.net.parts, grads, self.square, strict=True):
             g /= n
@@ -228,7 +242,7 @@ def picked(at: np.ndarray, turn: int, stride: int) -> np.ndarray:
     return np.flatnonzero(place % stride == turn % stride)
 
 
-def train(df: DataFrame, vocab: Vocabulary, *, stride: int = 2, rounds: int = 2, size: int = 512) -> Network:
+def train(df: DataFrame, vocab: Vocabulary, *, stride: int = 2, rounds: int = 2, size: int = 1024) -> Network:
     """df: text of the training rows."""
     spark = df.sparkSession
     noise = vocab.mass / vocab.mass.sum()
@@ -267,16 +281,14 @@ def train(df: DataFrame, vocab: Vocabulary, *, stride: int = 2, rounds: int = 2,
     return net
 
 
-_tables: dict[int, tuple] = {}
-
-
-def _gains(net: Network, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of P(class | context) over the class's share, for each context and class; and of the unknown word."""
-    p = net.table() * np.float32(1 / np.log(10))
+def _gains(net: Network, v: Vocabulary) -> tuple[np.ndarray, ...]:
+    """log10 of P(class | contexts) over the class's share, as two tables and the normalisers; the same of the unknown word for each pair of contexts."""
+    p, f, z = net.tables()
     tails = (SMOOTH / TAILS / v.mass[SINGLES:]).astype(np.float32)
-    unknown = np.log10(np.power(np.float32(10), p[:, SINGLES:]) @ tails) - np.log10(SMOOTH / v.whole)
-    p -= np.log10(v.mass / v.whole).astype(np.float32)
-    return p, unknown.astype(np.float32)
+    with np.errstate(divide="ignore"):
+        unknown = np.log10((np.exp(p[:, SINGLES:]) * tails) @ np.exp(f[:, SINGLES:]).T) - np.log10(SMOOTH / v.whole)
+    ten = np.float32(1 / np.log(10))
+    return p * ten, f * ten - np.log10(v.mass / v.whole).astype(np.float32), z * ten, unknown.astype(np.float32)
 
 
 def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fold: int = 10, table_size: int = 300_000, stride: int = 2, rounds: int = 2) -> DataFrame:
@@ -288,17 +300,12 @@ def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fold: in
     counts = table(word_counts(learn), "word-counts")
     vocab = vocabulary(counts, table_size)
     net = train(learn, vocab, stride=stride, rounds=rounds) if vocab.total else Network(np.full(CLASSES, 1 / CLASSES))
-    shared = spark.sparkContext.broadcast((vocab, net.flat()))
-    mark = id(shared)
+    shared = spark.sparkContext.broadcast((vocab, *_gains(net, vocab)))
     end_class = int(np.searchsorted(vocab.single, END))
     whole = vocab.whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, flat = shared.value
-        if mark not in _tables:
-            _tables.clear()
-            _tables[mark] = _gains(Network(v.mass / v.mass.sum()).load(flat), v)
-        gain, unknown = _tables[mark]
+        v, by_near, by_far, normal, unknown = shared.value
         uid = TaskContext.get().partitionId() << 33
         for big in batches:
             for batch in textbytes.slices(big, "text"):
@@ -307,9 +314,9 @@ def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fold: in
                 found = v.find(h)
                 cls = v.classes(found, tails)
                 one, two = v.contexts(cls, at, end_class)
-                ctx = one * CLASSES + two
-                known = gain[ctx, cls].astype(np.float64) if v.total else np.zeros(len(h))
-                lost = unknown[ctx].astype(np.float64) if v.total else np.zeros(len(h))
+                z = normal[one, two].astype(np.float64)
+                known = by_near[one, cls] + by_far[two, cls] - z if v.total else np.zeros(len(h))
+                lost = unknown[one, two] - z if v.total else np.zeros(len(h))
                 here = found >= 0
                 base = np.where(here, v.base[found] if len(v.h) else 0.0, 0.0)
                 doc = np.repeat(np.arange(n), np.diff(at))

@@ -133,7 +133,47 @@ def test_log_bilinear(spark):
 
 def test_network_is_normalised():
     net = logbilinear.Network(np.full(logbilinear.CLASSES, 1 / logbilinear.CLASSES))
-    assert np.allclose(np.exp(net.table()[::999]).sum(axis=1), 1, atol=1e-4)
+    every = np.arange(logbilinear.CLASSES)
+    for a, b in ((0, 0), (5, 1000), (1023, 17)):
+        assert np.exp(net.log_prob(np.full_like(every, a), np.full_like(every, b), every)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_by_hand(spark, monkeypatch):
+    """score is the sum of log10 P(class | classes before) * (c + 0.1) / mass of the class, from the trained parameters alone."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5 + 40 * i)}" for _ in range(25)) for i in range(60)] + ["", None, "never Seen w1 w1"]
+    nets, train = [], logbilinear.train
+    monkeypatch.setattr(logbilinear, "train", lambda *a, **k: nets.append((train(*a, **k), a[1])) or nets[-1][0])
+    got = {r.doc_id: r for r in logbilinear.score(docs(spark, texts), table_size=50).collect()}
+    (net, v), k = nets[0], logbilinear.CLASSES
+    r, q, bias, near, far = (p.astype(np.float64) for p in net.parts)
+    c = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 for w in [*words(t), None])
+    (h, _, _), singles = logbilinear._tokens(pa.array([" ".join(sorted(w.decode() for w in c if w))])), v.single.tolist()
+    single = dict(zip(sorted(w for w in c if w), h.tolist(), strict=False))
+
+    def cls(w):
+        x = int(logbilinear.END) if w is None else single.get(w)
+        if x in singles:
+            return singles.index(x)
+        return logbilinear.SINGLES + (w[-1] * 131 + w[max(len(w) - 2, 0)] * 31) % 9973 % logbilinear.TAILS
+
+    members = defaultdict(float)
+    for w, n in c.items():
+        members[cls(w)] += n + 0.1
+    unseen = 0.1 / logbilinear.TAILS  # the unknown word is spread over the tail classes
+    for i, t in enumerate(texts):
+        total, a, b = 0.0, cls(None), cls(None)
+        for w in [*words(t), None]:
+            s = (r[a] @ near + r[b] @ far) @ q.T + bias
+            p = np.exp(s - s.max())
+            p /= p.sum()
+            if w in c:
+                mass = members[cls(w)] + (unseen if cls(w) >= logbilinear.SINGLES else 0)
+                total += math.log10(p[cls(w)] * (c[w] + 0.1) / mass)
+            else:
+                total += math.log10(sum(p[x] * unseen / (members[x] + unseen) for x in range(logbilinear.SINGLES, k)))
+            a, b = cls(w), a
+        assert got[i].score == pytest.approx(total, rel=1e-3, abs=1e-2)
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 4096, 4097, 20_000])
