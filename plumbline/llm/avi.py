@@ -158,9 +158,9 @@ def store(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What the stored files hold: payload, checksums, and a feature string of frames, shots and histogram."""
+    """What the stored files hold: payload, checksums, a feature string of frames, shots and histogram, and the shots as timed clips."""
     kind = media.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
 
     def one(data: bytes) -> tuple:
         video, coefs, samples = decode(data)
@@ -168,17 +168,19 @@ def features(media: DataFrame) -> DataFrame:
         payload = jpeg.stored(coefs).ravel()[:size].tobytes()
         starts, hist = shots(samples)
         feature = f"frames={len(samples)} shots={len(starts)} cuts={zlib.crc32(repr(starts).encode()):08x} bins={','.join(map(str, hist.sum(0)))}"
-        return n, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature
+        times = [{"start_s": a / video["fps"], "end_s": b / video["fps"]} for a, b in zip(starts, [*starts[1:], len(samples)], strict=True)]
+        return n, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, times
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        clip = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip]
         for whole in batches:
             for begin in range(0, whole.num_rows, 500):
                 batch = whole.slice(begin, 500)
                 rows = [one(x.as_py()) for x in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names)
 
-    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<start_s: double, end_s: double>>")
 
 
 def clips(media: DataFrame) -> DataFrame:

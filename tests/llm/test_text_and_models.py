@@ -211,3 +211,8 @@ def test_media_features(spark):
     assert got[2].media_sha256 == got[5].media_sha256 and got[2].feature == got[5].feature
     shown = avi.clips(avi.store(docs(spark, texts))).collect()
     assert {r.doc_id for r in shown} == set(range(6)) and all(r.end_s > r.start_s for r in shown)
+    for i in got:
+        assert [(c.start_s, c.end_s) for c in got[i].clips] == [(r.start_s, r.end_s) for r in sorted(shown, key=lambda r: r.clip) if r.doc_id == i]
+    null_id = spark.createDataFrame([(None, "x")], "doc_id long, text string")
+    assert [r.doc_id for r in avi.features(avi.store(null_id)).collect()] == [None]
+    assert avi.features(avi.store(null_id.filter("text = 'no'"))).count() == 0
