@@ -10,6 +10,7 @@ Ties are broken by id. k of 0 gives no rows, k above the collection's size gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +36,25 @@ def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in parts of about ``BLOCK_BYTES`` of vectors each, by their counted size: what may be broadcast at once."""
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    blocks = max(1, -(-(size.n * max(1, size.d or 1) * 8) // BLOCK_BYTES))
+    return [queries] if blocks == 1 else [queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
 def pairwise(collection: DataFrame, queries: DataFrame, metric="ip", kind: str = "f32") -> DataFrame:
-    """Distances of all (query, member) pairs of a stated query set: qid, id, distance."""
-    q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("q"))
-    return collection.crossJoin(q).select("qid", "id", rounded(metrics.distance(metric, F.col("vec"), F.col("q"), kind)).alias("distance"))
+    """Distances of all (query, member) pairs of a stated query set, block by block: qid, id, distance."""
+    parts = [collection.crossJoin(F.broadcast(part.select(F.col("id").alias("qid"), F.col("vec").alias("q")))) for part in query_blocks(queries)]
+    return reduce(DataFrame.union, parts).select("qid", "id", rounded(metrics.distance(metric, F.col("vec"), F.col("q"), kind)).alias("distance"))
 
 
 def _matrix_hits(collection: DataFrame, queries: DataFrame, k: int, metric, kind: str) -> DataFrame:
     spark = collection.sparkSession
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    blocks = max(1, -(-(size.n * max(1, size.d or 1) * 8) // BLOCK_BYTES))
     id_kind = collection.schema["id"].dataType.simpleString()
     q_kind = queries.schema["id"].dataType.simpleString()
     out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+    for part in query_blocks(queries):
         rows = part.select("id", F.col("vec").cast("array<double>").alias("vec")).toArrow()
         ids, matrix = rows["id"].combine_chunks(), _stack(rows["vec"].combine_chunks())
         shared = spark.sparkContext.broadcast((ids, matrix))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import quantize
 from plumbline.operators import aggregate, cluster, collection, log, maintenance, matching, search
 from plumbline.sources import segments
 from plumbline.streaming.apply import TableApplier, dedup_stream
@@ -163,3 +164,53 @@ def test_stream_dedup(spark, commands, tmp_path):
     out = dedup_stream(spark.readStream.schema(commands.schema).parquet(str(tmp_path / "in")))
     out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert as_set(spark.read.parquet(str(tmp_path / "out"))) == as_set(log.first_requests(commands))
+
+
+def test_blocks_of_queries_and_centroids(spark, monkeypatch):
+    """More queries or centroids than one broadcast holds give the same results in blocks."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).round(2).tolist()) for i in range(60)], "id long, vec array<double>")
+    few = rows.filter("id % 3 = 0")
+    want = [sorted(map(tuple, f().collect())) for f in (lambda: cluster.assign(rows, few), lambda: search.pairwise(rows, few, "l2sq"), lambda: search.search(rows, few, 3, "l2sq"))]
+    monkeypatch.setattr(search, "BLOCK_BYTES", 100)
+    assert len(search.query_blocks(few)) > 3
+    got = [sorted(map(tuple, f().collect())) for f in (lambda: cluster.assign(rows, few), lambda: search.pairwise(rows, few, "l2sq"), lambda: search.search(rows, few, 3, "l2sq"))]
+    assert got == want
+
+
+def test_storage_kinds_with_nulls(spark):
+    rows = [(1, [3.0, 4.0]), (2, None), (3, []), (4, [0.0, 0.0, 0.0]), (5, [1e9, -0.3, 0.02])]
+    frame = spark.createDataFrame(rows, "id long, vec array<double>")
+    for kind in ("f16", "bf16", "e5m2", "e4m3", "e3m2", "e2m3", "i8", "u8", "b1", "f32"):
+        got = {r.id: r.v for r in frame.select("id", quantize.stored_as(F.col("vec"), kind).alias("v")).collect()}
+        for i, v in rows:
+            assert (got[i] is None) == (v is None)
+            if v:
+                np.testing.assert_allclose(got[i], quantize.round_trip(np.array(v), kind), rtol=1e-6)
+    back = frame.select("id", quantize.decode_vector(quantize.encode_vector(F.col("vec").cast("array<float>"))).alias("v")).collect()
+    assert {r.id: r.v for r in back}[2] is None and {r.id: r.v for r in back}[1] == [3.0, 4.0] and {r.id: r.v for r in back}[3] == []
+    odd = spark.createDataFrame([(bytearray(b"abc"),), (bytearray(b""),), (None,), (bytearray(8),)], "b binary")
+    assert [r.v for r in odd.coalesce(1).select(quantize.decode_vector(F.col("b")).alias("v")).collect()] == [None, [], None, [0.0, 0.0]]
+
+
+def test_outcomes_of_requests(spark):
+    rows = [(1, "a", True, ""), (2, "b", False, "full"), (3, "a", False, "late"), (4, "c", True, ""), (5, "", True, ""), (6, "b", True, ""), (7, None, True, "")]
+    found = log.request_outcomes(spark.createDataFrame(rows, "log_index long, request_id string, success boolean, error string"), 3)
+    assert sorted(map(tuple, found.collect())) == [("a", 3, True, False, "late"), ("b", 2, True, False, "full"), ("c", 4, False, False, "")]
+    assert [r.request_id for r in log.outcome_snapshot(found).collect()] == ["b", "a"]
+
+
+def test_snapshot_is_replaced_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id long, vec array<double>")
+    for n in (2, 1):
+        segments.save_snapshot(rows.limit(n), f"file://{tmp_path}", index=5, term=1, metric="ip", data_type="f32")
+        assert segments.load_snapshot(spark, f"file://{tmp_path}", 5, dim=1, metric="ip", data_type="f32")[0].count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["snap=5"]
+
+
+def test_suffix_is_overwritten(spark):
+    make = lambda *rows: spark.createDataFrame(list(rows), "log_index long, term long, id long")
+    own = make((1, 1, 10), (2, 1, 20), (3, 2, 30), (4, 2, 40), (5, 2, 50))
+    assert sorted(map(tuple, log.overwrite_suffix(own, make((2, 1, 20), (3, 3, 31), (4, 3, 41))).collect())) == [(1, 1, 10), (2, 1, 20), (3, 3, 31), (4, 3, 41)]
+    assert log.overwrite_suffix(own, make((2, 1, 20))).count() == 5 and log.overwrite_suffix(own, make((6, 2, 60))).count() == 6
+
