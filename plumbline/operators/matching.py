@@ -38,11 +38,47 @@ def stable_match(candidates: DataFrame) -> DataFrame:
         place = step.select("l", F.when(F.col("kept"), F.col("at")).otherwise(F.col("at") + 1).alias("at"))
 
 
+def whole_match(left: DataFrame, right: DataFrame, metric="ip", width: int = 16) -> DataFrame:
+    """l, r, distance of the stable matching over all pairs, with lists of ``width`` at a time; the metric is symmetric.
+
+    Both sides rank pairs by distance, then id, so two members that are each other's nearest free ones belong together. A phase lists the
+    nearest free members of each free member; rounds match mutual nearest ones along the lists until none are left, then lists are made
+    anew for those still free. A member whose list has run out waits for the next phase. The pairs of all members are never kept.
+    """
+    tasks = left.sparkSession.sparkContext.defaultParallelism
+    empty = left.sparkSession.createDataFrame([], left.select(F.col("id").alias("l"), F.col("id").alias("r"), F.lit(0.0).alias("distance")).schema)
+    done, n = empty, 0
+    while True:
+        a, b = (x.select("id", "vec").join(done.select(F.col(side).alias("id")), "id", "left_anti") for x, side in ((left, "l"), (right, "r")))
+        ours = cut_lineage(knn_join(a, b, width, metric).select("l", "r", "distance").coalesce(tasks))
+        theirs = cut_lineage(knn_join(b, a, width, metric).select(F.col("l").alias("r"), F.col("r").alias("l"), "distance").coalesce(tasks))
+        begun, before = n, -1
+        while n > before:
+            new = done.union(_mutual(*(x.join(done.select("l"), "l", "left_anti").join(done.select("r"), "r", "left_anti") for x in (ours, theirs))))
+            done = cut_lineage(new.coalesce(tasks))
+            before, n = n, done.count()
+        if n == begun:  # nobody left, or distances that differ in the last digit by direction: the nearest pair belongs together
+            nearest = ours.select("l", "r", "distance").orderBy("distance", "l", "r").limit(1)
+            done = cut_lineage(done.union(nearest).coalesce(tasks))
+            n = done.count()
+            if n == begun:
+                return done
+
+
+def _mutual(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """l, r, distance of the pairs that are nearest in the lists of both."""
+    one = ours.groupBy("l").agg(F.min(F.struct("distance", "r")).alias("x")).select("l", "x.r", "x.distance")
+    two = theirs.groupBy("r").agg(F.min(F.struct("distance", "l")).alias("y")).select(F.col("r").alias("r2"), F.col("y.l").alias("l2"))
+    return one.join(two, (F.col("l") == F.col("l2")) & (F.col("r") == F.col("r2"))).select("l", "r", "distance")
+
+
 def match(left: DataFrame, right: DataFrame, metric="ip", proposals: int | None = None) -> DataFrame:
     """l, r, distance. The smaller side proposes; ``proposals`` caps each one's list (None: ln(n) + 1; 0: no cap)."""
     n, m = left.count(), right.count()
     swap = m < n
     a, b = (right, left) if swap else (left, right)
+    if proposals == 0 and not callable(metric):
+        return whole_match(left, right, metric)
     most = max(n, m) if proposals == 0 else proposals or default_proposals(min(n, m))
     out = stable_match(cut_lineage(knn_join(a, b, most, metric)))
     return out.select(F.col("r").alias("l"), F.col("l").alias("r"), "distance") if swap else out
