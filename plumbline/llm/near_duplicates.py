@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes
 from .components import components
-from .shared import Scope, Sieve, respread, table, unused
+from .shared import Scope, Sieve, gathered, respread, table, unused
 
 COORDINATES = 16
 
@@ -86,8 +86,8 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 def _members(rows: DataFrame) -> DataFrame:
     """node, origin, c, n, size, weight of all classes in the nodes worth comparing."""
-    kept = respread(_nodes(rows)).withColumnRenamed("node", "k")
-    return table(rows.select("node", "origin", "c", "n").join(kept, F.col("node") == F.col("k")).drop("k"), "members")
+    kept = gathered(_nodes(rows)).withColumnRenamed("node", "k")
+    return table(gathered(rows.select("node", "origin", "c", "n").join(kept, F.col("node") == F.col("k")).drop("k")), "members")
 
 
 def _grow(rows: DataFrame, docs: DataFrame, comps: DataFrame | None, leaf: int, most: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
@@ -107,9 +107,9 @@ def _grow(rows: DataFrame, docs: DataFrame, comps: DataFrame | None, leaf: int,
         pick = lambda j: F.pmod(F.xxhash64("origin") % COORDINATES + (2 * level + j) * stride, F.lit(COORDINATES)).cast("int")  # noqa: B023, E731
         with_sig = big.join(docs.select(F.col("id").alias("c2"), "sig"), F.col("c") == F.col("c2"))
         child = lambda j: F.xxhash64("node", pick(j), F.element_at("sig", pick(j) + 1))  # noqa: B023, E731
-        grown = table(with_sig.select("node", "origin", "c", "n", "size", F.explode(F.array(child(0), child(1))).alias("child")).distinct(), "grown")
+        grown = table(gathered(with_sig.select("node", "origin", "c", "n", "size", F.explode(F.array(child(0), child(1))).alias("child")).distinct()), "grown")
         widest = grown.groupBy("node", "child", "size").count().groupBy("node").agg(F.max(F.col("count") / F.col("size")).alias("share"))
-        dense = respread(widest.filter(F.col("share") >= 0.85).select(F.col("node").alias("k")))
+        dense = table(gathered(widest.filter(F.col("share") >= 0.85).select(F.col("node").alias("k"))), "dense")
         crowds.append(big.join(dense, F.col("node") == F.col("k"), "left_semi").select("node", "c", "n"))
         rows = grown.join(dense, F.col("node") == F.col("k"), "left_anti").select(F.col("child").alias("node"), "origin", "c", "n").distinct()
         rows = _with_component(rows, comps)
@@ -119,7 +119,7 @@ def _grow(rows: DataFrame, docs: DataFrame, comps: DataFrame | None, leaf: int,
 def _apart(crowds: DataFrame, comps: DataFrame | None, leaf: int, most: int) -> DataFrame:
     """node, c, out, nb, ns of the crowds that are not one component yet: out tells who is outside the main one; numbers of blocks of all and of those."""
     rows = _with_component(crowds, comps)
-    parts = table(rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")), "crowd-parts")
+    parts = table(rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).transform(gathered), "crowd-parts")
     nodes = parts.groupBy("node").agg(F.max(F.struct("size", "weight", "comp")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight"))
     nodes = nodes.filter(F.col("main.size") < F.col("size"))
     blocks = lambda size, weight: F.greatest(F.ceil(size / (2 * leaf)), F.ceil(weight / most)).cast("int")
@@ -127,8 +127,8 @@ def _apart(crowds: DataFrame, comps: DataFrame | None, leaf: int, most: int) ->
         F.col("node").alias("k"), F.col("main.comp").alias("main"), blocks(F.col("size"), F.col("weight")).alias("nb"),
         blocks(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("ns"),
     )
-    rows = rows.join(respread(nodes), F.col("node") == F.col("k"))
-    return table(rows.select("node", "c", (F.col("comp") != F.col("main")).alias("out"), "nb", "ns"), "crowds")
+    rows = rows.join(gathered(nodes), F.col("node") == F.col("k"))
+    return table(gathered(rows.select("node", "c", (F.col("comp") != F.col("main")).alias("out"), "nb", "ns")), "crowds")
 
 
 def _block(count: str) -> Column:
@@ -257,14 +257,14 @@ def near_duplicates(
     with Scope() as scope:
         docs = table(signatures(df, doc_id, text, k, total), "signatures")
         classes = docs.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("f1", "f2").agg(F.min("id").alias("c"), F.first("top").alias("top"), F.first("n").alias("n"))
-        classes = table(classes, "classes")
+        classes = table(gathered(classes), "classes")
         rows = classes.select("c", "n", F.posexplode("top").alias("tree", "m")).select("tree", F.xxhash64("tree", "m").alias("node"), "c", "n")
         # The texts of all classes that meet another one somewhere, taken from the corpus once.
         met = _nodes(_with_component(rows.select("node", "c", "n"), None)).select(F.col("node").alias("k"))
-        wanted = rows.join(respread(met), F.col("node") == F.col("k"), "left_semi").select(F.col("c").alias("w")).distinct()
+        wanted = rows.join(gathered(met), F.col("node") == F.col("k"), "left_semi").select(F.col("c").alias("w")).distinct()
         wanted = wanted.join(classes.select("c", "f1"), F.col("w") == F.col("c")).select("w", "f1")
         source = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-        wanted = table(wanted, "wanted")
+        wanted = table(gathered(wanted), "wanted")
         source = Sieve(wanted.select("w")).passed(source, F.col("id"))
         # Joins with texts are sort-merge joins at every size: what a small input could broadcast grows with the data.
         texts = table(source.join(respread(wanted).hint("merge"), F.col("id") == F.col("w")).select("id", "f1", "text"), "texts")
@@ -280,7 +280,7 @@ def near_duplicates(
             groups, crowd = _grow(part, docs, comps, leaf, most, depth)
             groups = groups.select("node", "c")
             if crowd is not None:
-                crowds.append(table(crowd, "crowded"))
+                crowds.append(table(gathered(crowd), "crowded"))
                 groups = groups.union(_pivoted(_apart(crowds[-1], comps, leaf, most)))
             comps = meet(groups, comps)
         if crowds:
